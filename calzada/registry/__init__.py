@@ -7,6 +7,6 @@ from calzada.registry.base import Entry
 
 def entries() -> dict[str, Entry]:
     """All registered queries by name."""
-    from calzada.registry import analytics
+    from calzada.registry import analytics, dashboard, operators
 
-    return {**analytics.ENTRIES}
+    return {**analytics.ENTRIES, **dashboard.ENTRIES, **operators.ENTRIES}

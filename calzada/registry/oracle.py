@@ -88,6 +88,8 @@ TABLES = {
     "indexado": """SELECT t.*, CASE WHEN COALESCE(p95, 0) > 0 THEN CASE WHEN ocupacion IS NULL THEN NULL
         ELSE greatest(0.0, least(1.0, ocupacion / p95)) END ELSE 0.0 END AS indice_congestion FROM trafico t LEFT JOIN p95 USING (anio)""",
     "trafico_raw": TRAFICO_RAW,
+    # What comes back from CSV: a blank cell is a missing one.
+    "leido": "SELECT " + ", ".join(f"NULLIF({c}, '') AS {c}" for c in RAW_COLUMNS) + ", anio_carpeta FROM trafico_raw",
     "crudo": f"SELECT * FROM trafico_raw WHERE NOT ({_EMPTY})",
     "tipado": "SELECT " + ", ".join(f"{_TYPED[c]} AS {c}" for c in RAW_COLUMNS) + " FROM crudo",
     "limpio": f"SELECT *, {period('hora')} AS periodo_dia, {rush('hora')} AS es_hora_pico FROM tipado",
@@ -140,5 +142,7 @@ def with_tables(sql: str) -> str:
         for name in set(_NAME.findall(re.sub(r"\bAS \w+", "", todo.pop()))) - needed:
             needed.add(name)
             todo.append(TABLES[name])
+    if sql.lstrip().startswith("WITH"):
+        sql = f"SELECT * FROM ({sql}) q"
     parts = [f"{name} AS (\n{TABLES[name]}\n)" for name in TABLES if name in needed]
     return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + sql

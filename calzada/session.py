@@ -16,6 +16,9 @@ def local_session(app: str = "calzada", cpus: int | str = "*", partitions: int =
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        # The JVM does not compile methods over 8000 bytes; a wide cleaning projection fused into one
+        # such method would be interpreted. Past this size Spark splits the work into small methods.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.driver.memory", "8g")
         .config("spark.driver.host", "127.0.0.1")
         .config("spark.driver.bindAddress", "127.0.0.1")

@@ -41,7 +41,7 @@ def _csv(spark: SparkSession, schema: T.StructType, header: bool):
     return (
         spark.read.schema(schema).option("header", str(header).lower()).option("encoding", "UTF-8")
         .option("recursiveFileLookup", "true").option("ignoreLeadingWhiteSpace", "false")
-        .option("ignoreTrailingWhiteSpace", "false").option("emptyValue", "").option("pathGlobFilter", "[!~]*")
+        .option("ignoreTrailingWhiteSpace", "false").option("pathGlobFilter", "[!~]*")
     )
 
 

@@ -21,8 +21,8 @@ def by_year(df: DataFrame, year: str = "anio", files_per_year: int | None = None
 
 def write_csv_by_year(df: DataFrame, path: str, year: str = "anio", files_per_year: int | None = None,
                       mode: str = "overwrite") -> None:
-    """One header per file, every year in its own folder. Empty text and NULL stay apart."""
-    (by_year(df, year, files_per_year).write.mode(mode).option("header", "true").option("emptyValue", '""')
+    """One header per file, every year in its own folder; NULL and empty text are both blank cells."""
+    (by_year(df, year, files_per_year).write.mode(mode).option("header", "true")
      .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false")
      .partitionBy(year).csv(path))
 

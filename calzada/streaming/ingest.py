@@ -31,7 +31,7 @@ def raw_stream(spark: SparkSession, source: str, n_columns: int = len(RAW_COLUMN
         spark.readStream.schema(schema).option("header", "true").option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", REJECTED).option("ignoreCorruptFiles", "true")
         .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false")
-        .option("emptyValue", "").option("recursiveFileLookup", "true").option("pathGlobFilter", "[!~]*")
+        .option("recursiveFileLookup", "true").option("pathGlobFilter", "[!~]*")
         .option("maxFilesPerTrigger", str(files_per_batch))
     )
     return pad_columns(reader.csv(source).select("*", folder_year().alias("anio_carpeta")))
@@ -82,7 +82,7 @@ def csv_stream(spark: SparkSession, source: str, target: str, checkpoint: str,
     rows = raw_stream(spark, source, n_columns, files_per_batch, keep_rejected=False)
     cleaned = rows.transform(drop_empty_rows).transform(select_by_position).transform(clean_for_csv)
     query = (
-        cleaned.writeStream.format("csv").option("header", "true").option("emptyValue", '""')
+        cleaned.writeStream.format("csv").option("header", "true")
         .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false")
         .option("checkpointLocation", checkpoint).option("path", target).partitionBy("anio")
         .outputMode("append").trigger(availableNow=True).start()
