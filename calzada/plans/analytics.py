@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from calzada.functions.dates import WEEKDAYS
 from calzada.functions.numbers import percent
 from calzada.functions.traffic import SEVERITIES, field_order, open_day_period, slower_than
+from calzada.sources.workspace import materialise
 
 SLOW_KMH = 30
 
@@ -108,19 +109,19 @@ def traffic_and_incidents(trafico: DataFrame, incidentes: DataFrame) -> DataFram
 
 
 def slower_than_average(trafico: DataFrame) -> DataFrame:
-    """Zones whose mean speed is below the mean of all readings; the table is scanned once.
+    """Zones whose mean speed is below the mean of all readings.
 
-    The partial results travel in one struct, so the sub-query reads the very same exchange instead
-    of a pruned aggregation of its own.
+    The overall mean follows from the zones' sums and counts. Both are read from the written zone
+    summary: pruned separately, the two branches would each scan the readings.
     """
-    zones = trafico.groupBy("corredor", "comuna").agg(F.struct(
+    zones = materialise(trafico.groupBy("corredor", "comuna").agg(
         F.sum("velocidad_kmh").alias("suma"), F.count("velocidad_kmh").alias("n"),
-        F.avg("intensidad_veh_h").alias("volumen")).alias("z"))
-    overall = zones.agg(F.try_divide(F.sum("z.suma"), F.sum("z.n")).alias("v")).scalar()
-    mean = F.try_divide(F.col("z.suma"), F.col("z.n"))
+        F.avg("intensidad_veh_h").alias("volumen")), "zones")
+    overall = zones.agg(F.try_divide(F.sum("suma"), F.sum("n")).alias("v")).scalar()
+    mean = F.try_divide(F.col("suma"), F.col("n"))
     return zones.where(mean < overall).select(
         "corredor", "comuna", F.round(mean, 1).alias("velocidad_promedio"),
-        F.round("z.volumen", 0).alias("volumen_promedio"),
+        F.round("volumen", 0).alias("volumen_promedio"),
     ).orderBy("velocidad_promedio", "corredor", "comuna")
 
 

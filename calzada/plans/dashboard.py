@@ -14,6 +14,7 @@ from calzada.functions.text import match_key
 from calzada.functions.traffic import SEVERITIES, field_order, slower_than
 from calzada.operators.filters import inside_city, known_keys, named_corridors
 from calzada.operators.geo import one_point_per_corridor
+from calzada.sources.workspace import materialise
 
 CRAWL_KMH = 20
 SAMPLE_ROWS = 500
@@ -45,11 +46,11 @@ def corridor_options(trafico: DataFrame) -> DataFrame:
 
 def hourly_profile(trafico: DataFrame) -> DataFrame:
     """Mean speed and flow per hour, and the flow scaled so that its peak is 60."""
-    hours = known_keys(trafico, "hora").groupBy("hora").agg(F.struct(
-        F.avg("velocidad_kmh").alias("velocidad"), F.avg("intensidad_veh_h").alias("intensidad")).alias("h"))
-    top = hours.agg(F.max("h.intensidad").alias("m")).scalar()
-    scaled = F.try_divide(F.col("h.intensidad"), top) * 60
-    return hours.select("hora", "h.velocidad", "h.intensidad", scaled.alias("intensidad_norm")).orderBy("hora")
+    hours = materialise(known_keys(trafico, "hora").groupBy("hora").agg(
+        F.avg("velocidad_kmh").alias("velocidad"), F.avg("intensidad_veh_h").alias("intensidad")), "hours")
+    peak = hours.agg(F.max("intensidad").alias("m")).scalar()
+    scaled = F.try_divide(F.col("intensidad"), peak) * 60
+    return hours.select("hora", "velocidad", "intensidad", scaled.alias("intensidad_norm")).orderBy("hora")
 
 
 def congestion_by_corridor(trafico: DataFrame, min_count: int = 100, n: int = 15, kmh: float = CRAWL_KMH) -> DataFrame:
@@ -107,13 +108,10 @@ def _vehicles() -> Column:
 
 
 def incident_overlay(incidentes: DataFrame, coordenadas: DataFrame) -> DataFrame:
-    """Located incident places with a marker size between 5 and 25.
-
-    The size is relative to the busiest *located* place, so that maximum runs over the joined rows;
-    both readings share the exchanges below the join.
-    """
+    """Located incident places with a marker size between 5 and 25, relative to the busiest of them."""
     places = _places(incidentes, F.count("id_incidente").alias("total_incidentes"))
-    located = known_keys(places.join(one_point_per_corridor(coordenadas), "clave"), "latitud", "longitud")
+    located = materialise(
+        known_keys(places.join(one_point_per_corridor(coordenadas), "clave"), "latitud", "longitud"), "places")
     top = located.agg(F.max("total_incidentes").alias("m")).scalar()
     size = F.try_divide(F.col("total_incidentes"), top) * 20 + 5
     return located.select("ubicacion", "corredor", "total_incidentes", "latitud", "longitud",

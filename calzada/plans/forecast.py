@@ -7,17 +7,19 @@ from pyspark.sql import functions as F
 
 from calzada.functions.dates import month_end, month_index, month_start
 from calzada.functions.numbers import finite, stable
+from calzada.sources.workspace import materialise
 
 HORIZON_MONTHS = 48
 
 
 def monthly_points(trafico: DataFrame) -> DataFrame:
     """(anio, mes_num, intensidad, t) per month with a finite mean flow; t = 1 in the first January."""
-    months = trafico.where(F.col("anio").isNotNull() & F.col("mes_num").isNotNull()).groupBy(
-        "anio", "mes_num").agg(F.struct(F.avg("intensidad_veh_h").alias("intensidad")).alias("m"))
+    months = materialise(
+        trafico.where(F.col("anio").isNotNull() & F.col("mes_num").isNotNull()).groupBy("anio", "mes_num").agg(
+            F.avg("intensidad_veh_h").alias("intensidad")), "months")
     first = months.agg(F.min("anio").alias("a")).scalar()
     return (
-        months.select("anio", "mes_num", "m.intensidad", month_index(F.col("anio"), F.col("mes_num"), first).alias("t"))
+        months.select("anio", "mes_num", "intensidad", month_index(F.col("anio"), F.col("mes_num"), first).alias("t"))
         .where(finite(F.col("intensidad")))
     )
 
