@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,10 +11,11 @@ from calzada.functions.dates import MONTHS, WEEKDAYS
 from calzada.operators.cleaning import clean
 from calzada.operators.congestion import congestion_index
 from calzada.operators.geo import corridor_coordinates
-from calzada.sources.readers import drop_empty_rows
+from calzada.sources.readers import drop_empty_rows, spread
 from calzada.sources.catalog import conform_traffic
 from calzada.sources.schemas import RAW_COLUMNS
 from calzada.sources.workspace import new_folder
+from calzada.sources.writers import write_parquet_by_year
 
 JOINED = """FROM lineitem
 JOIN part ON l_partkey = p_partkey
@@ -107,25 +109,58 @@ TRAFICO_RAW = ("SELECT " + ",\n       ".join(
     f"CASE WHEN l_orderkey % 101 = 0 THEN NULL ELSE {_RAW[c]} END AS {c}" for c in RAW_COLUMNS)
     + f",\n       CAST(year(l_shipdate) AS INT) AS anio_carpeta\n{JOINED}")
 
-SOURCE_TABLES = ("lineitem", "part", "supplier", "nation", "orders")
+# Column types of the given tables; with them no job has to look into the files first.
+SOURCE_TABLES = {
+    "lineitem": """l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double,
+                   l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz""",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "orders": """o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz,
+                 o_orderpriority string""",
+}
+
+# Folders of the tables stored so far, by application, data folder and table.
+_stored: dict[tuple[str, str, str], str] = {}
 
 
 class Fixture:
-    """The traffic tables of one data folder, built when first asked for."""
+    """The traffic tables of one data folder, built when first asked for.
+
+    As in the data flow itself, the ETL's results (``indexed``, ``cleaned``) are stored by year once
+    per application and data folder, and the queries read the stored tables.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
-        for name in SOURCE_TABLES:
-            spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+        for name, schema in SOURCE_TABLES.items():
+            spark.read.schema(schema).parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+
+    def _keep(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _stored:
+            path = self.folder(name)
+            write_parquet_by_year(build(), path)
+            _stored[key] = path
+        return self.spark.read.parquet(_stored[key])
 
     @cached_property
-    def trafico(self) -> DataFrame:
-        return conform_traffic(self.spark.sql(TRAFICO))
+    def source(self) -> DataFrame:
+        """Traffic as the view gives it, nothing stored."""
+        return conform_traffic(self._over_spread_rows(TRAFICO))
+
+    def _over_spread_rows(self, text: str) -> DataFrame:
+        spread(self.spark.table("lineitem"), "l_orderkey", "l_linenumber").createOrReplaceTempView("lineitem_repartida")
+        return self.spark.sql(text.replace("FROM lineitem", "FROM lineitem_repartida"))
 
     @cached_property
     def indexed(self) -> DataFrame:
         """Traffic with the default congestion index."""
-        return congestion_index(self.trafico)
+        return self._keep("trafico", lambda: congestion_index(self.source))
+
+    @cached_property
+    def trafico(self) -> DataFrame:
+        return self.indexed.drop("indice_congestion")
 
     @cached_property
     def incidentes(self) -> DataFrame:
@@ -138,11 +173,11 @@ class Fixture:
 
     @cached_property
     def raw(self) -> DataFrame:
-        return self.spark.sql(TRAFICO_RAW)
+        return self._over_spread_rows(TRAFICO_RAW)
 
     @cached_property
     def cleaned(self) -> DataFrame:
-        return clean(drop_empty_rows(self.raw))
+        return self._keep("limpio", lambda: clean(drop_empty_rows(self.raw)))
 
     @cached_property
     def located(self) -> DataFrame:

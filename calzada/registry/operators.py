@@ -25,9 +25,10 @@ def _counted(df, *columns):
 
 
 def _mapped(column: str, **outputs):
-    """Each distinct raw cell of a column next to what the operator makes of it."""
+    """Each distinct raw cell of a column next to what the operators make of it."""
     def run(f: Fixture):
-        return _counted(f.raw.select(F.col(column).alias("celda"), *[e.alias(n) for n, e in outputs.items()]), "celda", *outputs)
+        cell = F.col(column)
+        return _counted(f.raw.select(cell.alias("celda"), *[op(cell).alias(n) for n, op in outputs.items()]), "celda", *outputs)
     return run
 
 
@@ -116,6 +117,13 @@ def _yearly_sink(f: Fixture):
     return _by_year(f.spark.read.parquet(path))
 
 
+def _built(f: Fixture) -> str:
+    """The indexed table built anew, as the other queries find it stored."""
+    path = f.folder("trafico")
+    writers.write_parquet_by_year(congestion.congestion_index(f.source), path)
+    return path
+
+
 def _unified_sink(f: Fixture):
     path = f.folder("unificado")
     writers.write_parquet(f.cleaned, path)
@@ -149,7 +157,7 @@ def _batch_etl(f: Fixture):
 def _ingest(f: Fixture):
     source, target, log = _land(f, "entrada"), f.folder("ingerido"), f.folder("registro")
     for _ in range(2):  # the second run finds nothing new
-        ingest.ingest_new_files(f.spark, source, target, log, files_per_batch=3)
+        ingest.ingest_new_files(f.spark, source, target, log, files_per_batch=25)
     return _by_year(ingest.ingested(f.spark, target))
 
 
@@ -211,8 +219,6 @@ def _located_sql(table: str) -> str:
     return f"SELECT corredor, comuna, ROUND(latitud, 9) AS latitud, ROUND(longitud, 9) AS longitud FROM {table}"
 
 
-_NUMBERS = {c: numbers.to_number(F.col(c)) for c in cleaning.MEASURES}
-
 ENTRIES = {
     # Sources and sinks
     "s1_discover_inputs": Entry(_discovered, "SELECT DISTINCT anio_carpeta AS anio, TRUE AS hay_archivos FROM trafico_raw"),
@@ -250,6 +256,8 @@ ENTRIES = {
         _catalogue,
         """SELECT 'trafico' AS tabla, COUNT(*) AS filas FROM trafico UNION ALL SELECT 'incidentes', COUNT(*) FROM incidentes
            UNION ALL SELECT 'coordenadas', COUNT(*) FROM coordenadas"""),
+    "etl_traffic_table": Entry(
+        lambda f: _by_year(f.spark.read.parquet(_built(f))), f"SELECT anio, {_BY_YEAR} FROM trafico GROUP BY anio"),
     "etl_batch_job": Entry(
         _batch_etl,
         f"""SELECT l.anio, COUNT(*) AS filas, COUNT(i) AS con_indice, ROUND(AVG(i), 6) AS indice_medio, COUNT(*) FILTER (WHERE es_hora_pico) AS pico,
@@ -258,9 +266,9 @@ ENTRIES = {
             FROM limpio l LEFT JOIN p95_limpio USING (anio)) l GROUP BY l.anio"""),
     # Cleaning and derived columns
     "c1_text_clean": Entry(
-        _mapped("corredor", limpio=text.clean_cell(F.col("corredor"))), _mapped_sql("corredor", limpio="COALESCE(trim(corredor), '')")),
-    "c2_hour_parse": Entry(_mapped("hora", hora=numbers.to_int(F.col("hora"))), _mapped_sql("hora", hora=whole("hora"))),
-    "c3_month_number": Entry(_mapped("mes", mes_num=dates.month_number(F.col("mes"))), _mapped_sql("mes", mes_num=month_no("mes"))),
+        _mapped("corredor", limpio=text.clean_cell), _mapped_sql("corredor", limpio="COALESCE(trim(corredor), '')")),
+    "c2_hour_parse": Entry(_mapped("hora", hora=numbers.to_int), _mapped_sql("hora", hora=whole("hora"))),
+    "c3_month_number": Entry(_mapped("mes", mes_num=dates.month_number), _mapped_sql("mes", mes_num=month_no("mes"))),
     "c4_case_rules": Entry(
         lambda f: _counted(cleaning.clean_for_csv(readers.drop_empty_rows(f.raw)), "corredor", "sentido", "operacion"),
         f"""SELECT {title("COALESCE(trim(corredor), '')")} AS corredor, upper(COALESCE(trim(sentido), '')) AS sentido,
@@ -269,8 +277,8 @@ ENTRIES = {
         lambda f: readers.drop_empty_rows(f.raw).groupBy("anio_carpeta").agg(F.count("*").alias("filas")),
         "SELECT anio_carpeta, COUNT(*) AS filas FROM crudo GROUP BY anio_carpeta"),
     "c6_numeric_coercion": Entry(
-        lambda f: _counted(f.raw.select(*[e.alias(c) for c, e in _NUMBERS.items()]), *_NUMBERS),
-        "SELECT " + ", ".join(f"{num(c)} AS {c}" for c in _NUMBERS) + ", COUNT(*) AS n FROM trafico_raw GROUP BY ALL"),
+        lambda f: _counted(f.raw.select(*[numbers.to_number(F.col(c)).alias(c) for c in cleaning.MEASURES]), *cleaning.MEASURES),
+        "SELECT " + ", ".join(f"{num(c)} AS {c}" for c in cleaning.MEASURES) + ", COUNT(*) AS n FROM trafico_raw GROUP BY ALL"),
     "c7_vehicle_classes": Entry(
         lambda f: _counted(f.cleaned, *cleaning.VEHICLE_CLASSES),
         "SELECT " + ", ".join(cleaning.VEHICLE_CLASSES) + ", COUNT(*) AS n FROM limpio GROUP BY ALL"),

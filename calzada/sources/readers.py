@@ -116,6 +116,15 @@ def read_table(spark: SparkSession, path: str, columns: Sequence[str] | None = N
     return df.select(*columns) if columns else df
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Ahead of CPU-heavy work, hand a source of fewer splits than cores out to all cores.
+
+    A source with at least as many splits as cores, which any large one has, is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
 def jdbc_options(url: str, table: str, **extra: str) -> dict[str, str]:
     return {"url": url, "dbtable": table, **{k: str(v) for k, v in extra.items()}}
 

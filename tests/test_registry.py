@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import subprocess
+import sys
+
 import pytest
-from conftest import SF_DIR
+from conftest import ROOT, SF_DIR
 from compare import difference
 
 import __spark_entry__ as contract
@@ -26,3 +29,9 @@ def test_checks_belong_to_queries():
 
 def test_flagship(spark):
     assert contract.entry(spark).count() > 0
+
+
+def test_checks_need_no_session():
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, timeout=60)
+    assert done.returncode == 0, done.stderr
