@@ -41,11 +41,13 @@ def numeric_columns(df: DataFrame) -> list[str]:
 def describe(df: DataFrame, columns: Sequence[str] | None = None, digits: int = 6) -> DataFrame:
     """count, mean, std, min, exact quartiles and max, one row per numeric column."""
     columns = list(columns or numeric_columns(df))
-    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "columna", "valor")
-    base = long.groupBy("columna").agg(
-        F.count("valor").alias("count"), F.round(F.avg("valor"), digits).alias("mean"),
-        F.round(F.stddev("valor"), digits).alias("std"), F.min("valor").alias("min"), F.max("valor").alias("max"))
-    quart = exact_quantiles(long, "columna", "valor", QUARTILES).groupBy("columna").agg(*[
+    values = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    base = values.agg(F.array(*[F.struct(
+        F.lit(c).alias("columna"), F.count(c).alias("count"), F.round(F.avg(c), digits).alias("mean"),
+        F.round(F.stddev(c), digits).alias("std"), F.min(c).alias("min"), F.max(c).alias("max")) for c in columns]
+    ).alias("c")).select(F.inline("c"))
+    found = exact_quantiles(values.unpivot([], columns, "columna", "valor"), "columna", "valor", QUARTILES)
+    quart = found.groupBy("columna").agg(*[
         F.round(F.max(F.when(F.col("q") == q, F.col("valor"))), digits).alias(f"p{int(q * 100)}") for q in QUARTILES])
     return base.join(quart, "columna", "left").select(
         "columna", "count", "mean", "std", "min", "p25", "p50", "p75", "max")

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from calzada.sources.workspace import materialise
 
-# Up to this many distinct (group, value) pairs in all, one aggregate can hold them.
+# Up to this many distinct values may meet in one task.
 SMALL = 1_000_000
 
 
@@ -30,7 +30,7 @@ def exact_quantiles(df: DataFrame, group: str, value: str, qs: Sequence[float],
         if counts.count() <= small:
             found = _by_aggregate(counts, group, qs)
         else:
-            found = _by_cells(counts, group, qs, cells)
+            found = _by_cells(counts, group, qs, cells, small)
         return materialise(found, "quantiles")
     finally:
         counts.unpersist()
@@ -43,35 +43,58 @@ def _by_aggregate(counts: DataFrame, group: str, qs: Sequence[float]) -> DataFra
                         ).select(group, "x.q", "x.valor")
 
 
-def _by_cells(counts: DataFrame, group: str, qs: Sequence[float], cells: int) -> DataFrame:
-    """Cut each group's range into equal cells; running counts over at most ``cells`` of them tell
-    which cell holds a wanted rank, and only the distinct values of that cell are put in order."""
-    span = counts.groupBy(group).agg(F.sum("n").alias("total"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    share = F.coalesce(F.try_divide(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0))
-    placed = counts.join(span, group).withColumn(
-        "cell", F.least(F.floor(share * cells), F.lit(cells - 1)).cast("int"))
-
-    wanted = []
+def _wanted(qs: Sequence[float]) -> Column:
+    """The two neighbouring ranks of every fraction, and how far the quantile lies between them."""
+    out = []
     for q in qs:
         at = (F.col("total") - 1) * F.lit(float(q))
         low = F.floor(at)
         for side, rank in ((0, low), (1, F.least(low + 1, F.col("total") - 1))):
-            wanted.append(F.struct(F.lit(float(q)).alias("q"), F.lit(side).alias("side"),
-                                   rank.cast("long").alias("rank"), (at - low).alias("part")))
-    earlier = Window.unboundedPreceding, -1
-    before = F.sum("n").over(Window.partitionBy(group).orderBy("cell").rowsBetween(*earlier))
-    cell_ranks = (
+            out.append(F.struct(F.lit(float(q)).alias("q"), F.lit(side).alias("side"),
+                                rank.cast("long").alias("rank"), (at - low).alias("part")))
+    return F.array(*out)
+
+
+def _celled(values: DataFrame, keys: list[str], cells: int) -> DataFrame:
+    """Values with the cell they fall in: equal parts of the range between their key's extremes."""
+    span = values.groupBy(*keys).agg(F.sum("n").alias("total"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    share = F.coalesce(F.try_divide(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0))
+    return values.join(span, keys).withColumn(
+        "cell", F.least(F.floor(share * cells), F.lit(cells - 1)).cast("int"))
+
+
+def _earlier(keys: list[str], order: str) -> Column:
+    """Rows counted before this one: at most one row per cell, or the values of one cell."""
+    window = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum("n").over(window), F.lit(0))
+
+
+def _by_cells(counts: DataFrame, group: str, qs: Sequence[float], cells: int, small: int) -> DataFrame:
+    """Running counts over the cells tell which one holds a wanted rank. Only that cell's values go
+    on, and are divided again for as long as one task would get too many of them to put in order."""
+    placed = _celled(counts, [group], cells)
+    ranks = (
         placed.groupBy(group, "cell").agg(F.sum("n").alias("n"), F.max("total").alias("total"))
-        .withColumn("before", F.coalesce(before, F.lit(0)))
-        .withColumn("w", F.filter(F.array(*wanted), lambda w: (w["rank"] >= F.col("before"))
+        .withColumn("before", _earlier([group], "cell"))
+        .withColumn("w", F.filter(_wanted(qs), lambda w: (w["rank"] >= F.col("before"))
                                   & (w["rank"] < F.col("before") + F.col("n"))))
         .select(group, "cell", "before", F.inline("w"))
     )
-    inside = F.sum("n").over(Window.partitionBy(group, "q", "side").orderBy("v").rowsBetween(*earlier))
-    ordered = (
-        placed.select(group, "cell", "v", "n").join(cell_ranks, [group, "cell"])
-        .withColumn("start", F.col("before") + F.coalesce(inside, F.lit(0)))
-    )
-    hit = (F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("start") + F.col("n"))
+    keys = [group, "q", "side"]
+    columns = [*keys, "rank", "part", "before", "v", "n"]
+    open_ = materialise(placed.select(group, "cell", "v", "n").join(ranks, [group, "cell"]).select(*columns), "cells")
+    while open_.groupBy(*keys).count().agg(F.max("count")).first()[0] > max(small, 1):
+        parts = _celled(open_, keys, cells)
+        hit = (
+            parts.groupBy(*keys, "cell", "rank", "before").agg(F.sum("n").alias("n"))
+            .withColumn("start", F.col("before") + _earlier(keys, "cell"))
+            .where((F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("start") + F.col("n")))
+            .select(*keys, "cell", "start")
+        )
+        open_ = materialise(parts.join(hit, [*keys, "cell"]).withColumn("before", F.col("start")).select(*columns), "cells")
+    start = F.col("before") + _earlier(keys, "v")
     low, high = (F.max(F.when(F.col("side") == s, F.col("v"))) for s in (0, 1))
-    return ordered.where(hit).groupBy(group, "q").agg((low + (high - low) * F.max("part")).alias("valor"))
+    return (
+        open_.withColumn("start", start).where((F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("start") + F.col("n")))
+        .groupBy(group, "q").agg((low + (high - low) * F.max("part")).alias("valor"))
+    )

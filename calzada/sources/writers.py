@@ -6,34 +6,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def by_year(df: DataFrame, year: str = "anio", files_per_year: int | None = None) -> DataFrame:
+def by_year(df: DataFrame, year: str = "anio", balanced: bool = False) -> DataFrame:
     """Rows placed for a per-year write.
 
-    Hashing on the year alone would hand each year to one task. Left as it is, every task writes the
-    years it holds; with ``files_per_year`` a year is spread over that many tasks by a row salt.
+    Left as it is, every task writes the years it holds, which for input kept in year folders is one.
+    ``balanced`` shuffles the rows by year into files of the advisory partition size: adaptive
+    execution splits a hot year over many tasks and puts small ones together.
     """
-    if files_per_year is None:
-        return df
-    # A hash of the row, not rand(): a recomputed task must place its rows as before.
-    salt = F.pmod(F.xxhash64(*df.columns), F.lit(files_per_year))
-    return df.repartition(F.col(year), salt)
+    return df.hint("rebalance", year) if balanced else df
 
 
-def write_csv_by_year(df: DataFrame, path: str, year: str = "anio", files_per_year: int | None = None,
+def write_csv_by_year(df: DataFrame, path: str, year: str = "anio", balanced: bool = False,
                       mode: str = "overwrite") -> None:
     """One header per file, every year in its own folder; NULL and empty text are both blank cells."""
-    (by_year(df, year, files_per_year).write.mode(mode).option("header", "true")
+    (by_year(df, year, balanced).write.mode(mode).option("header", "true")
      .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false")
      .partitionBy(year).csv(path))
 
 
-def write_parquet_by_year(df: DataFrame, path: str, year: str = "anio", files_per_year: int | None = None,
+def write_parquet_by_year(df: DataFrame, path: str, year: str = "anio", balanced: bool = False,
                           sort_by: str | None = "corredor") -> None:
     """Replaces only the years present in ``df``.
 
     Sorting inside each task keeps row-group statistics narrow, which takes the place of an index.
     """
-    out = by_year(df, year, files_per_year)
+    out = by_year(df, year, balanced)
     if sort_by and sort_by in df.columns:
         out = out.sortWithinPartitions(year, sort_by)
     (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "snappy")

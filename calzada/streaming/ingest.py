@@ -19,7 +19,7 @@ FILES_PER_BATCH = 1_000
 
 
 def raw_stream(spark: SparkSession, source: str, n_columns: int = len(RAW_COLUMNS),
-               files_per_batch: int = FILES_PER_BATCH, keep_rejected: bool = True) -> DataFrame:
+               files_per_batch: int = FILES_PER_BATCH, keep_rejected: bool = True, header: bool = True) -> DataFrame:
     """Raw text columns, the folder's year, and the original line of rows that do not fit.
 
     ``source`` may be a glob such as ``base/*`` for year folders. Unreadable files are skipped.
@@ -28,7 +28,7 @@ def raw_stream(spark: SparkSession, source: str, n_columns: int = len(RAW_COLUMN
     if keep_rejected:
         schema = T.StructType([*schema.fields, T.StructField(REJECTED, T.StringType())])
     reader = (
-        spark.readStream.schema(schema).option("header", "true").option("mode", "PERMISSIVE")
+        spark.readStream.schema(schema).option("header", str(header).lower()).option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", REJECTED).option("ignoreCorruptFiles", "true")
         .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false")
         .option("recursiveFileLookup", "true").option("pathGlobFilter", "[!~]*")
@@ -53,10 +53,10 @@ def _write_batch(target: str):
 
 
 def ingest_new_files(spark: SparkSession, source: str, target: str, checkpoint: str, n_columns: int = len(RAW_COLUMNS),
-                     files_per_batch: int = FILES_PER_BATCH) -> int:
+                     files_per_batch: int = FILES_PER_BATCH, header: bool = True) -> int:
     """Load the files not loaded so far into ``target``; returns the number of batches run."""
     query = (
-        raw_stream(spark, source, n_columns, files_per_batch).writeStream
+        raw_stream(spark, source, n_columns, files_per_batch, header=header).writeStream
         .foreachBatch(_write_batch(target)).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )

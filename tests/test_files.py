@@ -70,19 +70,19 @@ def test_batch_etl(spark, base):
 def test_rewriting_a_year_leaves_the_others(spark, tmp_path):
     df = spark.createDataFrame([(2019, "a"), (2020, "b")], "anio int, corredor string")
     writers.write_parquet_by_year(df, str(tmp_path / "t"))
-    writers.write_parquet_by_year(spark.createDataFrame([(2020, "c")], df.schema), str(tmp_path / "t"), files_per_year=2)
+    writers.write_parquet_by_year(spark.createDataFrame([(2020, "c")], df.schema), str(tmp_path / "t"), balanced=True)
     assert sorted((r.anio, r.corredor) for r in spark.read.parquet(str(tmp_path / "t")).collect()) == [(2019, "a"), (2020, "c")]
 
 
 def test_a_hot_year_is_spread_over_files(spark, tmp_path):
-    df = spark.range(2000).withColumn("anio", F.lit(2020))
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # would merge rows this few
+    df = spark.range(0, 200_000, 1, 4).withColumn("anio", F.lit(2020)).unionByName(spark.createDataFrame([(1, 2019)], "id long, anio int"))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "200k")
     try:
-        writers.write_parquet_by_year(df, str(tmp_path / "t"), files_per_year=6, sort_by=None)
+        writers.write_parquet_by_year(df, str(tmp_path / "t"), balanced=True, sort_by=None)
     finally:
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-    back = spark.read.parquet(str(tmp_path / "t"))
-    assert back.count() == 2000 and len(list((tmp_path / "t/anio=2020").glob("*.parquet"))) > 1
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 200_001
+    assert len(list((tmp_path / "t/anio=2020").glob("*.parquet"))) > 1
 
 
 def test_append_reload_export_and_audit(spark, tmp_path):

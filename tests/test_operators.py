@@ -96,7 +96,7 @@ def test_index_is_repaired_only_when_it_adds_up_to_zero(spark):
     assert {r.indice_congestion for r in empty} == {0.0}
 
 
-@pytest.mark.parametrize("small", [0, 1_000_000])
+@pytest.mark.parametrize("small", [0, 20, 1_000_000])
 def test_quantiles_match_brute_force(spark, small):
     rng = random.Random(3)
     groups = {
