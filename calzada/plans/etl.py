@@ -9,6 +9,7 @@ from calzada.operators.cleaning import clean, clean_for_csv
 from calzada.operators.congestion import congestion_index
 from calzada.operators.sampling import random_sample
 from calzada.sources.readers import drop_empty_rows, read_positional, select_by_position
+from calzada.sources.workspace import new_folder
 from calzada.sources.writers import write_csv_by_year, write_parquet, write_parquet_by_year
 
 
@@ -28,12 +29,12 @@ def parquet_job(spark: SparkSession, source: str, yearly: str, unified: str | No
                 fraction: float | None = None, n_columns: int = 25) -> DataFrame:
     """Raw CSV folders to Parquet per year and, if wanted, one unified table; returns the summary.
 
-    The cleaned rows are written without their index first: its divisors need a second look at the
-    data, and reading narrow Parquet columns again is far cheaper than parsing the text twice.
+    The cleaned rows go to the work folder without their index first: its divisors need a second look
+    at the data, and reading one Parquet column again is far cheaper than parsing the text twice.
     """
     raw = drop_empty_rows(read_positional(spark, source, n_columns))
     rows = raw if fraction is None else random_sample(raw, fraction)
-    staged = f"{yearly.rstrip('/')}_sin_indice"
+    staged = new_folder(spark, "sin_indice")
     write_parquet_by_year(clean(rows), staged, sort_by=None)
     write_parquet_by_year(congestion_index(spark.read.parquet(staged)), yearly)
     table = spark.read.parquet(yearly)

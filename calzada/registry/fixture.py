@@ -6,6 +6,7 @@ from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from calzada.functions.dates import MONTHS, WEEKDAYS
 from calzada.operators.cleaning import clean
@@ -120,8 +121,8 @@ SOURCE_TABLES = {
                  o_orderpriority string""",
 }
 
-# Folders of the tables stored so far, by application, data folder and table.
-_stored: dict[tuple[str, str, str], str] = {}
+# Folder and schema of the tables stored so far, by application, data folder and table.
+_stored: dict[tuple[str, str, str], tuple[str, StructType]] = {}
 
 
 class Fixture:
@@ -141,8 +142,9 @@ class Fixture:
         if key not in _stored:
             path = self.folder(name)
             write_parquet_by_year(build(), path)
-            _stored[key] = path
-        return self.spark.read.parquet(_stored[key])
+            _stored[key] = path, self.spark.read.parquet(path).schema
+        path, schema = _stored[key]
+        return self.spark.read.schema(schema).parquet(path)
 
     @cached_property
     def source(self) -> DataFrame:

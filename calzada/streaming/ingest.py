@@ -53,15 +53,15 @@ def _write_batch(target: str):
 
 
 def ingest_new_files(spark: SparkSession, source: str, target: str, checkpoint: str, n_columns: int = len(RAW_COLUMNS),
-                     files_per_batch: int = FILES_PER_BATCH, header: bool = True) -> int:
-    """Load the files not loaded so far into ``target``; returns the number of batches run."""
+                     files_per_batch: int = FILES_PER_BATCH, header: bool = True) -> bool:
+    """Load the files not loaded so far into ``target``; true if there were any."""
     query = (
         raw_stream(spark, source, n_columns, files_per_batch, header=header).writeStream
         .foreachBatch(_write_batch(target)).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return sum(1 for p in query.recentProgress if p["numInputRows"] > 0)
+    return any(p["numInputRows"] > 0 for p in query.recentProgress)
 
 
 def ingested(spark: SparkSession, target: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from calzada.operators.filters import filter_traffic
 from calzada.plans import analytics, dashboard, etl, forecast
+from calzada.sources import schemas
 from calzada.sources.catalog import Tables, conform_traffic, open_tables, register_views
 
 
@@ -113,6 +114,14 @@ def test_union_of_years_matches_columns_by_name(spark):
     assert sorted(got, key=str) == [(1, "x"), (1, None), (2, "y")]
 
 
+def test_tables_have_the_declared_types(tables):
+    for df, schema in ((tables.incidentes, schemas.INCIDENTS), (tables.coordenadas, schemas.COORDINATES),
+                       (analytics.critical_zones(tables.trafico), schemas.CRITICAL_ZONES), (tables.located, schemas.COORDINATES)):
+        assert [(f.name, f.dataType) for f in df.schema] == [(f.name, f.dataType) for f in schema]
+    declared = {f.name: f.dataType for f in schemas.TRAFFIC}
+    assert all(declared[f.name] == f.dataType for f in tables.indexed.schema if f.name in declared)
+
+
 # Physical plans
 
 def test_filters_and_columns_reach_the_scan(stored):
