@@ -47,6 +47,13 @@ def test_positional_read_pads_and_takes_the_folder_year(spark, base):
     assert (r.carril, r.fecha_trafico, r.codigo_comuna, r.anio_carpeta) == ("c1", "2021-01-01 00:00:00", None, 2021)
 
 
+def test_cells_past_the_known_columns_are_dropped(spark, base):
+    put(base / "ancho/2021/c.csv", line(carril="c1", codigo_comuna="9") + ",sobra,más", header=",".join([*RAW_COLUMNS, "x", "y"]))
+    df = readers.read_positional(spark, str(base / "ancho/2021"))
+    r = df.first()
+    assert df.columns == [*RAW_COLUMNS, "anio_carpeta"] and (r.carril, r.codigo_comuna) == ("c1", "9")
+
+
 def test_header_layouts_are_merged(spark, base):
     files = []
     for i, header in enumerate(["Corredor,Intensidad (Veh/h)", "Intensidad,Corredor", "Corredor,otra", "Corredor,Intensidad (Veh/h)"]):
