@@ -7,6 +7,7 @@ import gzip
 import pytest
 from pyspark.sql import functions as F
 
+from calzada.operators.profile import schema_table
 from calzada.plans import etl
 from calzada.sources import readers, writers
 from calzada.sources.schemas import RAW_COLUMNS
@@ -105,6 +106,22 @@ def test_append_reload_export_and_audit(spark, tmp_path):
     assert {tuple(r) for r in writers.load_audit(t=df).collect()} == {("t", 2019, 1), ("t", 2020, 1)}
 
 
+def test_summary_kept_as_a_table(spark, tmp_path):
+    df = spark.createDataFrame([(2019, 1)], "anio int, id int")
+    for _ in range(2):  # a second run replaces the first
+        writers.create_table_as(df, "resumen_prueba", str(tmp_path / "tabla"))
+    assert spark.table("resumen_prueba").count() == 1
+    spark.sql("DROP TABLE resumen_prueba")
+
+
+def test_traffic_table_in_one_go(spark, base):
+    raw = readers.drop_empty_rows(readers.read_positional(spark, [str(base / "in/2019"), str(base / "in/2020")]))
+    rows = {r.corredor: r for r in etl.traffic_table(raw, method="max_valid", null_text="empty").collect()}
+    assert rows["Av 80"].indice_congestion == 1.0 and rows["Calle 10A"].indice_congestion == 0.25 and rows["Av 80"].comuna == ""
+    assert etl.traffic_table(raw, fraction=1.0).count() == 3
+    assert dict(schema_table(etl.traffic_table(raw, method="max")))["indice_congestion"] == "double"
+
+
 def test_jdbc_reader_is_partitioned():
     got = readers.jdbc_options("jdbc:x", "trafico", partitionColumn="id", lowerBound=1, upperBound=9, numPartitions=4)
     assert got == {"url": "jdbc:x", "dbtable": "trafico", "partitionColumn": "id", "lowerBound": "1", "upperBound": "9", "numPartitions": "4"}
