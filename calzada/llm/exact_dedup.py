@@ -44,13 +44,17 @@ def row_keys(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> Da
 
 @contextmanager
 def _disk_backed_state(spark: SparkSession):
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, ROCKSDB)
+    """RocksDB as the state store; without preallocated files, which cost megabytes per partition however little it holds."""
+    wanted = {"providerClass": ROCKSDB, "rocksdb.allowFAllocate": "false"}
+    wanted = {f"spark.sql.streaming.stateStore.{k}": v for k, v in wanted.items()}
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def update_state(spark: SparkSession, keys_path: str, state_path: str, files_per_trigger: int = 1_000) -> DataFrame:
