@@ -67,7 +67,7 @@ def source_targets(sources: DataFrame) -> DataFrame:
         "source", "source_size", "n_docs", "target")
 
 
-def mix(docs: DataFrame, seed: int = 7, block_words: int = 16, shard_docs: int = 20_000) -> DataFrame:
+def mix(docs: DataFrame, seed: int = 7, block_words: int = 16, shard_docs: int = 2_000) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, taken (words, repeats counted).
 
     NULL and blank texts have size 0 and nothing is taken from them; a NULL source is a source of its own, the

@@ -47,7 +47,7 @@ ORACLES = {
                             e AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
         t AS (SELECT *, coalesce(least(cap, weight * (SELECT arg_min(level, place) FROM l WHERE cap > level * weight)), cap) AS target FROM l),
         q AS (SELECT * FROM {_apportion("(SELECT 0 AS g, source, target AS vote, round(sum(target) OVER () / 16)::BIGINT AS seats FROM t)", "g", "source")}),
-        r AS (SELECT d.*, source_size, target, blocks AS seats, draw % ceil(n_docs / 20000)::BIGINT AS shard
+        r AS (SELECT d.*, source_size, target, blocks AS seats, draw % ceil(n_docs / 2000)::BIGINT AS shard
               FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source JOIN q ON d.source IS NOT DISTINCT FROM q.source),
         s AS (SELECT * FROM {_apportion("(SELECT source, shard, sum(size)::DOUBLE AS vote, any_value(seats) AS seats FROM r GROUP BY source, shard)", "source", "shard")}),
         p AS (SELECT r.*, blocks, sum(size) OVER (PARTITION BY r.source, r.shard)::BIGINT AS words,
