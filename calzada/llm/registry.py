@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from calzada.llm import exact_dedup, mixing
+import public_tokenizers
+
+from calzada.llm import bpe, exact_dedup, mixing, token_counts
 
 
 def table(spark, sf_dir, name):
@@ -17,7 +19,15 @@ def op5_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
-QUERIES = {"op5_mixing": op5_mixing, "op8_exact_dedup": op8_exact_dedup}
+def op4_bpe(spark, sf_dir):
+    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op2_token_counts(spark, sf_dir):
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES = {"op2_token_counts": op2_token_counts, "op4_bpe": op4_bpe, "op5_mixing": op5_mixing, "op8_exact_dedup": op8_exact_dedup}
 
 def _apportion(rows: str, group: str, item: str) -> str:
     """SQL for the seats of ``rows`` (group, item, vote, seats): highest quotients, as recursion-free ranking."""
