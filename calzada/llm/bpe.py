@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from calzada.llm.unicode_level import find_all
 
 SLICE_CHARS = 1_000_000
-KEPT_TOKENS = 400_000
+KEPT_TOKENS = 300_000
 
 
 class PerfectHash:
@@ -170,13 +170,14 @@ class Encoder:
         return ids, ends[np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))]
 
 
-def slices(texts: pa.Array) -> Iterator[pa.Array]:
-    """Parts of a batch with about SLICE_CHARS bytes each (one text at least), which bounds a worker's memory."""
-    ends = np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0), np.int64))
+def slices(values: pa.Array, most: int = SLICE_CHARS) -> Iterator[pa.Array]:
+    """Parts of a batch with about ``most`` bytes or list items each (one row at least), which bounds a worker's memory."""
+    size = pa.compute.list_value_length if pa.types.is_list(values.type) else pa.compute.binary_length
+    ends = np.cumsum(np.asarray(pa.compute.fill_null(size(values), 0), np.int64))
     at = 0
-    while at < len(texts):
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_CHARS, "right")))
-        yield texts.slice(at, to - at)
+    while at < len(values):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield values.slice(at, to - at)
         at = to
 
 
@@ -205,14 +206,17 @@ def decode(rows: DataFrame, vocabulary_path: str) -> DataFrame:
     """Adds ``bytes`` to frames that have ``ids``. NULL ids give NULL, an unknown id ends the job."""
     shared = rows.sparkSession.sparkContext.broadcast(Vocabulary.from_file(vocabulary_path))
 
-    @F.arrow_udf("binary")
-    def to_bytes(lists: pa.Array) -> pa.Array:
+    def part(lists: pa.Array) -> pa.Array:
         flat = lists.flatten().to_numpy(zero_copy_only=False)
         sizes = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), 0), np.int64)
         data, ends = shared.value.decode(flat, np.concatenate(([0], np.cumsum(sizes))))
         out = pa.Array.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)])
         return pa.compute.if_else(lists.is_valid(), out, None).cast(pa.binary())
 
+    @F.arrow_udf("binary")
+    def to_bytes(lists: pa.Array) -> pa.Array:
+        return pa.concat_arrays([part(x) for x in slices(lists, SLICE_CHARS // 4)] or [pa.array([], pa.binary())])
+
     return rows.withColumn("bytes", to_bytes("ids"))
 
 
