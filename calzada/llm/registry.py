@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from calzada.llm import bpe, exact_dedup, mixing, token_counts
+from calzada.llm import bpe, exact_dedup, language, mixing, quality, simhash, token_counts
 
 
 def table(spark, sf_dir, name):
@@ -27,7 +27,28 @@ def op2_token_counts(spark, sf_dir):
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {"op2_token_counts": op2_token_counts, "op4_bpe": op4_bpe, "op5_mixing": op5_mixing, "op8_exact_dedup": op8_exact_dedup}
+def op3_simhash_dedup(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op7_language(spark, sf_dir):
+    return language.predictions(table(spark, sf_dir, "documents"))
+
+
+def op10_quality(spark, sf_dir):
+    return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {
+    "op2_token_counts": op2_token_counts,
+    "op3_simhash_dedup": op3_simhash_dedup,
+    "op4_bpe": op4_bpe,
+    "op5_mixing": op5_mixing,
+    "op7_language": op7_language,
+    "op8_exact_dedup": op8_exact_dedup,
+    "op10_quality": op10_quality,
+}
+
 
 def _apportion(rows: str, group: str, item: str) -> str:
     """SQL for the seats of ``rows`` (group, item, vote, seats): highest quotients, as recursion-free ranking."""
