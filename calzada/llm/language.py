@@ -22,7 +22,7 @@ SAMPLES, EXCERPT = 256, 600
 # Pieces are compressed on their own, so that a long text does not become its own dictionary.
 PIECE = 4_096
 LEVEL = 3
-NARROW = 0.005
+NARROW = 0.003
 RESULT = "lang string, score double, rejected boolean"
 LETTER = regex.compile(r"\p{L}")
 
@@ -48,11 +48,14 @@ def learn(docs: DataFrame, samples: int = SAMPLES, excerpt: int = EXCERPT) -> di
 
 class Classifier:
     def __init__(self, dictionaries: dict[str, bytes], narrow: float = NARROW):
-        self.narrow, self.names, self.sizes = narrow, list(dictionaries), []
-        for raw in dictionaries.values():
-            data = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            data.precompute_compress(level=LEVEL)
-            self.sizes.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=data, write_checksum=False, write_content_size=False, write_dict_id=False).compress)
+        self.narrow, self.names = narrow, list(dictionaries)
+        self.sizes = [self._size(raw, LEVEL) for raw in dictionaries.values()]
+
+    @staticmethod
+    def _size(raw: bytes, level: int):
+        data = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        data.precompute_compress(level=level)
+        return zstandard.ZstdCompressor(level=level, dict_data=data, write_checksum=False, write_content_size=False, write_dict_id=False).compress
 
     def classify(self, text: str | None) -> tuple[str, float, bool]:
         if not text or not self.names or not LETTER.search(text):

@@ -1,13 +1,14 @@
 """Quality scores from supervised subword embeddings.
 
-A document is the average of the learned vectors of its words and of the character n-grams inside them, both
-hashed into a table of fixed size; a softmax layer turns it into a label. Vectors and layer are trained together by
+A document is the average of the learned vectors of its words, of the character n-grams inside them (both hashed
+into a table of fixed size) and of one vector for every word that repeats the word before it; a softmax layer turns it into a label. Vectors and layer are trained together by
 stochastic gradient descent in numpy. Because the layer is linear, a trained model is stored as one
 number per bucket (its vector times the layer), and a document's score is the average of those.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -31,16 +32,21 @@ def buckets(word: str) -> list[int]:
     return [crc32(marked.encode()) % BUCKETS] + [crc32(marked[i:i + n].encode()) % BUCKETS for n in GRAMS for i in range(len(marked) - n + 1)]
 
 
+SAME = crc32(b"<same>") % BUCKETS
+
+
 def words_of(text: str | None) -> list[str]:
     return (text or "").split()
 
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of a text and their shares, which add up to one; nothing for a text without words."""
-    words, counts = np.unique(np.array(words_of(text), object).astype(str), return_counts=True) if words_of(text) else ([], [])
+    found = words_of(text)
+    counts = Counter(found)
     total = np.zeros(BUCKETS, np.float32)
-    for word, n in zip(list(words), list(counts)):
-        np.add.at(total, buckets(str(word)), n)
+    for word, n in counts.items():
+        np.add.at(total, buckets(word), n)
+    total[SAME] += sum(a == b for a, b in zip(found, found[1:]))
     ids = np.flatnonzero(total)
     return ids.astype(np.int32), total[ids] / max(1.0, total.sum())
 
@@ -121,7 +127,11 @@ class Scorer:
             self.sizes = np.concatenate((self.sizes, sizes))
         at = np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
         ends = np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
-        total, size = (np.diff(np.concatenate(([0.0], np.cumsum(x[at])))[ends]) for x in (self.sums, self.sizes))
+        same = np.concatenate(([0.0], (at[1:] == at[:-1]).astype(float))) if len(at) else np.zeros(0)
+        first = ends[:-1][np.diff(ends) > 0]
+        same[first] = 0
+        parts = (self.sums[at] + same * self.weights[SAME], self.sizes[at] + same)
+        total, size = (np.diff(np.concatenate(([0.0], np.cumsum(x)))[ends]) for x in parts)
         return 1 / (1 + np.exp(-(total / np.maximum(size, 1) + self.bias)))
 
 

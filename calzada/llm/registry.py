@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from calzada.llm import bpe, exact_dedup, language, mixing, quality, simhash, token_counts
+from calzada.llm import bpe, exact_dedup, language, mixing, quality, sentences, simhash, token_counts, topk
 
 
 def table(spark, sf_dir, name):
@@ -27,6 +27,14 @@ def op2_token_counts(spark, sf_dir):
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op1_top_products(spark, sf_dir):
+    return topk.top_products(table(spark, sf_dir, "embeddings"))
+
+
+def op9_substring_dedup(spark, sf_dir):
+    return sentences.without_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_simhash_dedup(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -40,12 +48,14 @@ def op10_quality(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_top_products": op1_top_products,
     "op2_token_counts": op2_token_counts,
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_bpe": op4_bpe,
     "op5_mixing": op5_mixing,
     "op7_language": op7_language,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_quality": op10_quality,
 }
 
@@ -68,6 +78,13 @@ def _draw(*parts: str) -> str:
 
 
 ORACLES = {
+    "op1_top_products": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+             s AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, list_dot_product(a.v, b.v)::BIGINT AS score
+                   FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
+             r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
     "op5_mixing": rf"""
         WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, {_draw('doc_id')} AS draw FROM documents),
         c AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n_docs,
