@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from calzada.llm import bpe, exact_dedup, language, mixing, quality, sentences, simhash, token_counts, topk
+from calzada.llm import bpe, exact_dedup, language, lines, mixing, quality, sentences, simhash, token_counts, topk
 
 
 def table(spark, sf_dir, name):
@@ -35,6 +35,10 @@ def op9_substring_dedup(spark, sf_dir):
     return sentences.without_repeats(table(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark, sf_dir):
+    return lines.repeated_lines(table(spark, sf_dir, "documents"))
+
+
 def op3_simhash_dedup(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ QUERIES = {
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_bpe": op4_bpe,
     "op5_mixing": op5_mixing,
+    "op6_line_dedup": op6_line_dedup,
     "op7_language": op7_language,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_substring_dedup": op9_substring_dedup,
