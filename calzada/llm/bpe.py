@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from calzada.llm.unicode_level import find_all
 
 SLICE_CHARS = 1_000_000
-KEPT_TOKENS = 300_000
+KEPT_TOKENS = 200_000
 
 
 class PerfectHash:
@@ -181,9 +181,12 @@ def slices(values: pa.Array, most: int = SLICE_CHARS) -> Iterator[pa.Array]:
         at = to
 
 
-def encode(docs: DataFrame, vocabulary_path: str, pattern: str, text: str = "text", id: str = "doc_id") -> DataFrame:
+def encode(docs: DataFrame, vocabulary_path: str, pattern: str, text: str = "text", id: str = "doc_id",
+           and_decode: bool = False) -> DataFrame:
     """(doc_id, ids): the whole text's token ids. NULL and empty texts give no ids; special strings are plain text.
 
+    ``and_decode`` adds ``bytes``, decoded from the ids by the same worker, which saves a second one.
+
     The vocabulary is read on the driver and broadcast; it is as large as its file. Other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.from_file(vocabulary_path))
@@ -195,11 +198,20 @@ def encode(docs: DataFrame, vocabulary_path: str, pattern: str, text: str = "tex
             for part in slices(batch.column(1)):
                 ids, offsets = encoder.encode(part.to_pylist())
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), lists], [id, "ids"])
+                columns = [batch.column(0).slice(at, len(part)), lists]
+                if and_decode:
+                    columns.append(binary(*shared.value.decode(ids, offsets)))
+                yield pa.RecordBatch.from_arrays(columns, [id, "ids", "bytes"][:len(columns)])
                 at += len(part)
 
     kind = docs.schema[id].dataType.simpleString()
-    return docs.select(id, F.col(text).cast("string").alias("text")).mapInArrow(run, f"`{id}` {kind}, ids array<int>")
+    return docs.select(id, F.col(text).cast("string").alias("text")).mapInArrow(
+        run, f"`{id}` {kind}, ids array<int>" + ", bytes binary" * and_decode)
+
+
+def binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    buffers = [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)]
+    return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, buffers).cast(pa.binary())
 
 
 def decode(rows: DataFrame, vocabulary_path: str) -> DataFrame:
@@ -209,9 +221,8 @@ def decode(rows: DataFrame, vocabulary_path: str) -> DataFrame:
     def part(lists: pa.Array) -> pa.Array:
         flat = lists.flatten().to_numpy(zero_copy_only=False)
         sizes = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), 0), np.int64)
-        data, ends = shared.value.decode(flat, np.concatenate(([0], np.cumsum(sizes))))
-        out = pa.Array.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)])
-        return pa.compute.if_else(lists.is_valid(), out, None).cast(pa.binary())
+        out = binary(*shared.value.decode(flat, np.concatenate(([0], np.cumsum(sizes)))))
+        return pa.compute.if_else(lists.is_valid(), out, None)
 
     @F.arrow_udf("binary")
     def to_bytes(lists: pa.Array) -> pa.Array:
@@ -222,7 +233,7 @@ def decode(rows: DataFrame, vocabulary_path: str) -> DataFrame:
 
 def digests(docs: DataFrame, vocabulary_path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (of the decimal ids joined by a space), decoded_sha256 (of the decoded bytes)."""
-    rows = decode(encode(docs, vocabulary_path, pattern), vocabulary_path)
+    rows = encode(docs, vocabulary_path, pattern, and_decode=True)
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
                        F.sha2("bytes", 256).alias("decoded_sha256"))
