@@ -18,7 +18,7 @@ from calzada.llm.bpe import slices
 
 UNKNOWN = "und"
 # A dictionary is made of up to SAMPLES excerpts of EXCERPT characters, one document each.
-SAMPLES, EXCERPT = 256, 600
+SAMPLES, EXCERPT = 256, 1_000
 # Pieces are compressed on their own, so that a long text does not become its own dictionary.
 PIECE = 4_096
 LEVEL = 3
@@ -31,19 +31,22 @@ def learn(docs: DataFrame, samples: int = SAMPLES, excerpt: int = EXCERPT) -> di
     """Raw-content dictionaries from (doc_id, text, lang): a bounded sample of labelled rows, the same on every run.
 
     Rows are dealt into ``samples`` cells by a hash, of each language and cell the lowest hash is taken. Only
-    identifiers are aggregated (map-side); the texts chosen are fetched afterwards.
+    identifiers are aggregated (map-side); the texts chosen are fetched afterwards. Frequent languages come first.
     """
     labelled = docs.select("doc_id", "lang", "text").where("doc_id IS NOT NULL AND lang IS NOT NULL AND length(text) > 0")
     draw = F.xxhash64("doc_id", F.lit("language"))
-    chosen = labelled.groupBy("lang", F.pmod(draw, F.lit(samples)).alias("cell")).agg(F.min(F.struct(draw.alias("draw"), "doc_id")).alias("best")).select(
-        "lang", F.col("best.doc_id").alias("doc_id"))
+    chosen = labelled.groupBy("lang", F.pmod(draw, F.lit(samples)).alias("cell")).agg(
+        F.count("*").alias("n"), F.min(F.struct(draw.alias("draw"), "doc_id")).alias("best")).select("lang", "n", F.col("best.doc_id").alias("doc_id"))
     start = F.pmod(draw, F.greatest(F.lit(1), F.length("text") - excerpt)).cast("int") + 1
-    rows = labelled.join(chosen, ["lang", "doc_id"]).select("lang", "doc_id", F.lower(F.substring("text", start, F.lit(excerpt))).alias("piece"))
+    rows = labelled.join(chosen, ["lang", "doc_id"]).select("lang", "doc_id", "n", F.lower(F.substring("text", start, F.lit(excerpt))).alias("piece"))
     found: dict[str, dict] = {}
+    counts: dict[str, dict] = {}
     for r in rows.collect():
         own = found.setdefault(r.lang, {})
         own[r.doc_id] = max(own.get(r.doc_id, ""), r.piece)
-    return {lang: "\n".join(own[k] for k in sorted(own)).encode() for lang, own in sorted(found.items())}
+        counts.setdefault(r.lang, {})[r.doc_id] = r.n
+    order = sorted(found, key=lambda lang: (-sum(counts[lang].values()), lang))
+    return {lang: "\n".join(found[lang][k] for k in sorted(found[lang])).encode() for lang in order}
 
 
 class Classifier:
@@ -62,7 +65,7 @@ class Classifier:
             return UNKNOWN, 0.0, True
         data = text.lower().encode("utf-8", "surrogatepass")
         pieces = [data[i:i + PIECE] for i in range(0, len(data), PIECE)]
-        totals = sorted((sum(len(size(p)) for p in pieces), name) for name, size in zip(self.names, self.sizes))
+        totals = sorted(((sum(len(size(p)) for p in pieces), name) for name, size in zip(self.names, self.sizes)), key=lambda x: x[0])
         if len(totals) == 1:
             return totals[0][1], 1.0, False
         margin = 1 - totals[0][0] / totals[1][0]
@@ -72,7 +75,7 @@ class Classifier:
 def language(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text", narrow: float = NARROW) -> Column:
     """struct(lang, score, rejected) of a text column; ``und`` if it is NULL or has no letter, or nothing was learned.
 
-    score is 0.5 without any margin and 1 from a margin of a quarter on; ties go to the first name. The
+    score is 0.5 without any margin and 1 from a margin of a quarter on; ties go to the language learned from more rows. The
     dictionaries are broadcast: at most SAMPLES * EXCERPT characters for each language.
     """
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
