@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,12 +21,16 @@ def month_number(name: Column) -> Column:
     return F.coalesce(F.array_position(names, F.lower(strip(name))), F.lit(0)).cast("int")
 
 
-def to_timestamp(c: Column) -> Column:
-    return strip(c).try_cast("timestamp_ntz")
+def to_timestamp(c: Column, layouts: Sequence[str] = ()) -> Column:
+    """ISO text, else the first layout (Spark's patterns) that fits; NULL if none does."""
+    others = [F.try_to_timestamp(strip(c), F.lit(x)).cast("timestamp_ntz") for x in layouts]
+    return F.coalesce(strip(c).try_cast("timestamp_ntz"), *others)
 
 
-def to_date(c: Column) -> Column:
-    return strip(c).try_cast("date")
+def to_date(c: Column, layouts: Sequence[str] = ()) -> Column:
+    """As :func:`to_timestamp`, as a date."""
+    others = [F.try_to_timestamp(strip(c), F.lit(x)).cast("date") for x in layouts]
+    return F.coalesce(strip(c).try_cast("date"), *others)
 
 
 def month_index(year: Column, month: Column, first_year: Column) -> Column:
@@ -38,5 +44,5 @@ def month_end(first_year: Column, t: Column) -> Column:
 
 
 def month_start(year: Column, month: Column) -> Column:
-    """First day of the month; month 0 (unknown) is shown as January."""
-    return F.make_date(year, F.when(month == 0, F.lit(1)).otherwise(month), F.lit(1))
+    """First day of the month; month 0 (unknown) is shown as January, any other outside 1-12 gives NULL."""
+    return F.make_date(year, F.when(month == 0, F.lit(1)).when(month.between(1, 12), month), F.lit(1))

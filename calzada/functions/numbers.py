@@ -12,9 +12,10 @@ _DECIMAL = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 
 
 def to_number(c: Column) -> Column:
-    """Double, or NULL for anything that is not a finite-looking decimal (``nan`` included)."""
+    """Double, or NULL for anything that is not a finite decimal (``nan`` and ``1e999`` included)."""
     t = strip(c)
-    return F.when(t.rlike(_DECIMAL), t.try_cast("double"))
+    n = F.when(t.rlike(_DECIMAL), t.try_cast("double"))
+    return F.when(F.abs(n) < float("inf"), n)
 
 
 def to_int(c: Column, default: int | Column | None = 0) -> Column:

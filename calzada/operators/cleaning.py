@@ -28,7 +28,7 @@ def clean_for_csv(df: DataFrame, folder_year: str = "anio_carpeta") -> DataFrame
     return df.select(*[out[c].alias(c) for c in RAW_COLUMNS])
 
 
-def typed_columns(folder_year: Column, null_text: str = "null") -> dict[str, Column]:
+def typed_columns(folder_year: Column, null_text: str = "null", layouts: Sequence[str] = ()) -> dict[str, Column]:
     """Typed expression of every raw column."""
     c = {name: F.col(name) for name in RAW_COLUMNS}
     out = {name: numbers.to_number(c[name]) for name in MEASURES}
@@ -40,8 +40,8 @@ def typed_columns(folder_year: Column, null_text: str = "null") -> dict[str, Col
         # The month column where it holds a number, else the month's name.
         "mes_num": F.coalesce(numbers.to_int(c["mes_num"], None), dates.month_number(c["mes"])),
         "anio": numbers.to_int(c["anio"], folder_year),
-        "fecha_trafico": dates.to_timestamp(c["fecha_trafico"]),
-        "fecha": dates.to_date(c["fecha"]),
+        "fecha_trafico": dates.to_timestamp(c["fecha_trafico"], layouts),
+        "fecha": dates.to_date(c["fecha"], layouts),
         "sentido": text.normal_upper(c["sentido"], null_text),
         "operacion": text.normal_lower(c["operacion"], null_text),
         "tipo_subsistema": text.normal_plain(c["tipo_subsistema"], null_text),
@@ -56,9 +56,12 @@ def with_derived(df: DataFrame) -> DataFrame:
 
 
 def clean(df: DataFrame, folder_year: str = "anio_carpeta", null_text: str = "null",
-          keep: Sequence[str] = ()) -> DataFrame:
-    """Typed table with the derived columns, index excepted. One projection, no shuffle."""
-    typed = typed_columns(F.col(folder_year).cast("int"), null_text)
+          keep: Sequence[str] = (), layouts: Sequence[str] = ()) -> DataFrame:
+    """Typed table with the derived columns, index excepted. One projection, no shuffle.
+
+    ``layouts`` are patterns for dates that are not ISO, tried in order.
+    """
+    typed = typed_columns(F.col(folder_year).cast("int"), null_text, layouts)
     return with_derived(df.select(*[typed[c].alias(c) for c in RAW_COLUMNS], *keep))
 
 
@@ -75,8 +78,14 @@ NARROW = {"hora": "tinyint", "dia_num": "tinyint", "mes_num": "tinyint", "anio":
 
 
 def narrow_types(df: DataFrame, integers: dict[str, str] | None = None) -> DataFrame:
-    """Doubles as floats, small integers in their smallest type."""
-    integers = NARROW if integers is None else integers
+    """Doubles as floats, small integers in the types given.
+
+    By default those are the usual ones, or wider where a value needs it, which is measured first.
+    """
+    if integers is None:
+        order = ("tinyint", "smallint", "int", "bigint")
+        needed = smallest_integers(df.select(*[c for c in NARROW if c in df.columns]))
+        integers = {c: max(t, needed.get(c, t), key=order.index) for c, t in NARROW.items()}
     casts = {f.name: F.col(f.name).cast("float") for f in df.schema if f.dataType.simpleString() == "double"}
     casts |= {c: F.col(c).cast(t) for c, t in integers.items() if c in df.columns}
     return df.withColumns(casts)

@@ -9,38 +9,47 @@ from pyspark.sql import functions as F
 
 from calzada.sources.workspace import materialise
 
-# Up to this many distinct values may meet in one task.
-SMALL = 1_000_000
 
+def exact_quantiles(df: DataFrame, group: str, value: str, qs: Sequence[float]) -> DataFrame:
+    """(group, q, valor) for each group and fraction, over finite values; runs when called.
 
-def exact_quantiles(df: DataFrame, group: str, value: str, qs: Sequence[float], cells: int = 4096,
-                    small: int = SMALL) -> DataFrame:
-    """(group, q, valor) for each group and fraction; runs when called, the result is a small table.
-
-    Rows are first counted per (group, value): partial counts combine map-side and a hot group is
-    spread over all tasks. What remains are distinct values. If there are few, the built-in
-    aggregate takes them with their counts; otherwise ranks are located by cells.
+    Rows are counted per (group, value): partial counts combine map-side, so a hot group costs no task more
+    than its share. The distinct pairs are put in order by range partitions, as many as the session has shuffle
+    partitions. A running count over the partitions tells which of them hold a wanted rank, and only
+    those are ordered value by value. Whatever the values are, the work is the same three passes.
     """
     v = F.col(value).cast("double")
-    counts = (
-        df.where(v.isNotNull() & ~F.isnan(v) & F.col(group).isNotNull())
-        .groupBy(group, v.alias("v")).agg(F.count("*").alias("n")).persist()
+    finite = F.abs(v) < float("inf")  # neither NaN nor NULL passes
+    counts = df.where(finite & F.col(group).isNotNull()).groupBy(group, v.alias("v")).agg(F.count("*").alias("n"))
+    counts = materialise(counts, "quantile-counts")
+    placed = materialise(counts.repartitionByRange(group, "v").withColumn("tramo", F.spark_partition_id()), "quantile-order")
+
+    whole = Window.partitionBy(group)
+    earlier = whole.orderBy("tramo").rowsBetween(Window.unboundedPreceding, -1)
+    ranks = (
+        placed.groupBy(group, "tramo").agg(F.sum("n").alias("n"))
+        .withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).withColumn("total", F.sum("n").over(whole))
+        .withColumn("wanted", F.filter(_wanted(qs), lambda w: (w["rank"] >= F.col("before")) & (w["rank"] < F.col("before") + F.col("n"))))
+        .where(F.size("wanted") > 0).select(group, "tramo", "before", "wanted")
+    )
+    # Written first: it has a row or two per group and fraction, and the join should know that.
+    hit = placed.join(materialise(ranks, "quantile-ranks"), [group, "tramo"])
+    inside = Window.partitionBy(group, "tramo").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.col("before") + F.coalesce(F.sum("n").over(inside), F.lit(0))
+    values = (
+        hit.withColumn("start", start)
+        .select(group, "v", F.explode(F.filter("wanted", lambda w: (w["rank"] >= F.col("start")) & (w["rank"] < F.col("start") + F.col("n")))).alias("w"))
     )
-    try:
-        if counts.count() <= small:
-            found = _by_aggregate(counts, group, qs)
-        else:
-            found = _by_cells(counts, group, qs, cells, small)
-        return materialise(found, "quantiles")
-    finally:
-        counts.unpersist()
+    low, high = (F.max(F.when(F.col("w.side") == s, F.col("v"))) for s in (0, 1))
+    found = values.groupBy(group, F.col("w.q").alias("q")).agg(low.alias("low"), high.alias("high"), F.max("w.part").alias("part"))
+    return materialise(found.select(group, "q", _between(F.col("low"), F.col("high"), F.col("part")).alias("valor")), "quantiles")
 
 
-def _by_aggregate(counts: DataFrame, group: str, qs: Sequence[float]) -> DataFrame:
-    fractions = F.array(*[F.lit(float(q)) for q in qs])
-    found = counts.groupBy(group).agg(F.percentile("v", fractions, F.col("n")).alias("p"))
-    return found.select(group, F.explode(F.arrays_zip(fractions.alias("q"), F.col("p").alias("valor"))).alias("x")
-                        ).select(group, "x.q", "x.valor")
+def _between(low: Column, high: Column, part: Column) -> Column:
+    """Linear interpolation; the second form is for neighbours whose distance is beyond a double."""
+    step = high - low
+    apart = F.when(step < float("inf"), low + step * part).otherwise(low * (1 - part) + high * part)
+    return F.when((part == 0) | (low == high), low).otherwise(apart)
 
 
 def _wanted(qs: Sequence[float]) -> Column:
@@ -53,48 +62,3 @@ def _wanted(qs: Sequence[float]) -> Column:
             out.append(F.struct(F.lit(float(q)).alias("q"), F.lit(side).alias("side"),
                                 rank.cast("long").alias("rank"), (at - low).alias("part")))
     return F.array(*out)
-
-
-def _celled(values: DataFrame, keys: list[str], cells: int) -> DataFrame:
-    """Values with the cell they fall in: equal parts of the range between their key's extremes."""
-    span = values.groupBy(*keys).agg(F.sum("n").alias("total"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    share = F.coalesce(F.try_divide(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0))
-    return values.join(span, keys).withColumn(
-        "cell", F.least(F.floor(share * cells), F.lit(cells - 1)).cast("int"))
-
-
-def _earlier(keys: list[str], order: str) -> Column:
-    """Rows counted before this one: at most one row per cell, or the values of one cell."""
-    window = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return F.coalesce(F.sum("n").over(window), F.lit(0))
-
-
-def _by_cells(counts: DataFrame, group: str, qs: Sequence[float], cells: int, small: int) -> DataFrame:
-    """Running counts over the cells tell which one holds a wanted rank. Only that cell's values go
-    on, and are divided again for as long as one task would get too many of them to put in order."""
-    placed = _celled(counts, [group], cells)
-    ranks = (
-        placed.groupBy(group, "cell").agg(F.sum("n").alias("n"), F.max("total").alias("total"))
-        .withColumn("before", _earlier([group], "cell"))
-        .withColumn("w", F.filter(_wanted(qs), lambda w: (w["rank"] >= F.col("before"))
-                                  & (w["rank"] < F.col("before") + F.col("n"))))
-        .select(group, "cell", "before", F.inline("w"))
-    )
-    keys = [group, "q", "side"]
-    columns = [*keys, "rank", "part", "before", "v", "n"]
-    open_ = materialise(placed.select(group, "cell", "v", "n").join(ranks, [group, "cell"]).select(*columns), "cells")
-    while open_.groupBy(*keys).count().agg(F.max("count")).first()[0] > max(small, 1):
-        parts = _celled(open_, keys, cells)
-        hit = (
-            parts.groupBy(*keys, "cell", "rank", "before").agg(F.sum("n").alias("n"))
-            .withColumn("start", F.col("before") + _earlier(keys, "cell"))
-            .where((F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("start") + F.col("n")))
-            .select(*keys, "cell", "start")
-        )
-        open_ = materialise(parts.join(hit, [*keys, "cell"]).withColumn("before", F.col("start")).select(*columns), "cells")
-    start = F.col("before") + _earlier(keys, "v")
-    low, high = (F.max(F.when(F.col("side") == s, F.col("v"))) for s in (0, 1))
-    return (
-        open_.withColumn("start", start).where((F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("start") + F.col("n")))
-        .groupBy(group, "q").agg((low + (high - low) * F.max("part")).alias("valor"))
-    )

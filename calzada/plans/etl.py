@@ -9,7 +9,7 @@ from calzada.operators.cleaning import clean, clean_for_csv
 from calzada.operators.congestion import congestion_index
 from calzada.operators.sampling import random_sample
 from calzada.sources.readers import drop_empty_rows, read_positional, select_by_position
-from calzada.sources.workspace import new_folder
+from calzada.sources.workspace import drop_folder, materialise, new_folder
 from calzada.sources.writers import write_csv_by_year, write_parquet, write_parquet_by_year
 
 
@@ -21,7 +21,8 @@ def csv_job(raw: DataFrame, target: str) -> None:
 def traffic_table(raw: DataFrame, method: str = "p95_year", fraction: float | None = None, seed: int = 42,
                   null_text: str = "null") -> DataFrame:
     """Cleaned rows with derived columns and index. A sample, if asked for, is drawn before the index."""
-    rows = raw if fraction is None else random_sample(raw, fraction, seed)
+    # The sample is stored: the index looks at the rows twice and must find the same ones.
+    rows = raw if fraction is None else materialise(random_sample(raw, fraction, seed), "muestra")
     return congestion_index(clean(rows, null_text=null_text), method)
 
 
@@ -30,14 +31,22 @@ def parquet_job(spark: SparkSession, source: str, yearly: str, unified: str | No
     """Raw CSV folders to Parquet per year and, if wanted, one unified table; returns the summary.
 
     The cleaned rows go to the work folder without their index first: its divisors need a second look
-    at the data, and reading one Parquet column again is far cheaper than parsing the text twice.
+    at the data, and reading one Parquet column again is far cheaper than parsing the text twice. That copy is
+    deleted at the end, also after a failure. Tables are kept by the year of the *folder* (``anio_carpeta``): a run
+    replaces the folders it has read and no others, whatever years their cells name. Summary and unified table
+    cover the folders of this run.
     """
     raw = drop_empty_rows(read_positional(spark, source, n_columns))
     rows = raw if fraction is None else random_sample(raw, fraction)
     staged = new_folder(spark, "sin_indice")
-    write_parquet_by_year(clean(rows), staged, sort_by=None)
-    write_parquet_by_year(congestion_index(spark.read.parquet(staged)), yearly)
-    table = spark.read.parquet(yearly)
+    try:
+        write_parquet_by_year(clean(rows, keep=("anio_carpeta",)), staged, "anio_carpeta", sort_by=None)
+        indexed = spark.read.parquet(staged)
+        folders = [r.anio_carpeta for r in indexed.select("anio_carpeta").distinct().collect()]
+        write_parquet_by_year(congestion_index(indexed), yearly, "anio_carpeta")
+    finally:
+        drop_folder(spark, staged)
+    table = spark.read.parquet(yearly).where(F.col("anio_carpeta").isin(folders)).drop("anio_carpeta")
     if unified:
         write_parquet(table, unified)
     return run_summary(table)

@@ -182,7 +182,7 @@ def _rejects(f: Fixture):
     line = F.concat_ws(",", *[F.coalesce(c, F.lit("")) for c in RAW_COLUMNS])
     extra = F.when(F.trim("carril") == "carril 3", ",sobra").otherwise("")
     f.raw.select(F.concat(line, extra).alias("value"), "anio_carpeta").write.partitionBy("anio_carpeta").text(source)
-    ingest.ingest_new_files(f.spark, source, target, log, header=False)
+    ingest.ingest_new_files(f.spark, source, target, log, header=False, files="*.txt")
     table = f.spark.read.parquet(target)
     return table.agg(F.count_if(F.col("rechazada").cast("boolean")).alias("rechazadas"), F.count_if(~F.col("rechazada").cast("boolean")).alias("aceptadas"))
 
@@ -398,7 +398,7 @@ ENTRIES = {
             F.count("*").alias("filas"), F.count("intensidad_veh_h").alias("con_intensidad"), F.countDistinct("corredor").alias("corredores")),
         """SELECT anio, COUNT(*) AS filas, COUNT(intensidad_veh_h) AS con_intensidad, COUNT(DISTINCT corredor) AS corredores FROM trafico GROUP BY anio"""),
     "a8_quantiles": Entry(
-        lambda f: exact_quantiles(f.trafico, "anio", "intensidad_veh_h", (0.05, 0.5, 0.95), small=0).withColumn("valor", F.round("valor", 6)),
+        lambda f: exact_quantiles(f.trafico, "anio", "intensidad_veh_h", (0.05, 0.5, 0.95)).withColumn("valor", F.round("valor", 6)),
         " UNION ALL ".join(
             f"SELECT anio, CAST({q} AS DOUBLE) AS q, ROUND(quantile_cont(intensidad_veh_h, {q}), 6) AS valor FROM trafico GROUP BY anio"
             for q in (0.05, 0.5, 0.95))),

@@ -33,18 +33,30 @@ def discover_inputs(spark: SparkSession, base: str, suffix: str = ".csv") -> Dat
     keep = (F.col("folder") != "") & F.endswith(F.lower("archivo"), F.lit(suffix.lower()))
     return (
         files.where(keep & ~F.startswith("archivo", F.lit("~$")))
-        .select(F.col("folder").cast("int").alias("anio"), "archivo", "bytes").orderBy("anio", "archivo")
+        .select(F.col("folder").try_cast("int").alias("anio"), "archivo", "bytes").orderBy("anio", "archivo")
     )
 
 
-def _csv(spark: SparkSession, schema: T.StructType, header: bool):
+# Names of input files: the suffix in either case, packed or not; not the office programs' lock files.
+INPUT_FILES = "[!~]*.{csv,CSV,csv.gz,CSV.gz}"
+# Quotes inside a quoted cell are doubled.
+QUOTING = {"quote": '"', "escape": '"'}
+
+
+def _csv(spark: SparkSession, schema: T.StructType, header: bool, multi_line: bool = False):
     return (
         spark.read.schema(schema).option("header", str(header).lower()).option("encoding", "UTF-8")
         .option("recursiveFileLookup", "true").option("ignoreLeadingWhiteSpace", "false")
-        .option("ignoreTrailingWhiteSpace", "false").option("pathGlobFilter", "[!~]*")
+        .option("ignoreTrailingWhiteSpace", "false").option("pathGlobFilter", INPUT_FILES)
+        .option("multiLine", str(multi_line).lower()).options(**QUOTING)
     )
 
 
+def with_folder_year(df: DataFrame) -> DataFrame:
+    """Adds ``anio_carpeta``; files that are not in a digit-named folder are no input."""
+    return df.select("*", folder_year().alias("anio_carpeta")).where("anio_carpeta IS NOT NULL")
+
+
 def pad_columns(df: DataFrame) -> DataFrame:
     """All raw columns in order; the missing ones as NULL text."""
     missing = {c: F.lit(None).cast("string") for c in RAW_COLUMNS if c not in df.columns}
@@ -53,13 +65,14 @@ def pad_columns(df: DataFrame) -> DataFrame:
 
 
 def read_positional(spark: SparkSession, paths: str | Sequence[str], n_columns: int = len(RAW_COLUMNS),
-                    header: bool = True) -> DataFrame:
+                    header: bool = True, multi_line: bool = False) -> DataFrame:
     """Text columns named by position, short files padded, plus ``anio_carpeta`` from the folder.
 
-    Columns past the 25 known ones are dropped by the reader.
+    Columns past the 25 known ones are dropped by the reader. ``multi_line`` allows line breaks inside quoted
+    cells; a file is then read by one task.
     """
     n = min(n_columns, len(RAW_COLUMNS))
-    df = _csv(spark, raw_schema(n), header).csv(paths).select("*", folder_year().alias("anio_carpeta"))
+    df = with_folder_year(_csv(spark, raw_schema(n), header, multi_line).csv(paths))
     return pad_columns(df)
 
 
@@ -73,6 +86,16 @@ def rename_by_header(df: DataFrame, spellings: Mapping[str, Iterable[str]] = HEA
     return df.select(*plan, *[c for c in ("anio_carpeta",) if c in df.columns])
 
 
+def _by_position(names: Sequence[str]) -> T.StructType:
+    """Columns of a header line; of a name that comes again, in any case, the first keeps it."""
+    seen: set[str] = set()
+    fields = []
+    for i, name in enumerate(names):
+        fields.append(T.StructField(name if name and name.lower() not in seen else f"_columna_{i}", T.StringType()))
+        seen.add(name.lower())
+    return T.StructType(fields)
+
+
 def read_by_header(spark: SparkSession, files: Sequence[str], peek_threads: int = 16) -> DataFrame:
     """Files with differing headers as one frame.
 
@@ -80,7 +103,8 @@ def read_by_header(spark: SparkSession, files: Sequence[str], peek_threads: int
     one scan, so the plan grows with the number of distinct layouts and not with the files.
     """
     def header_of(path: str) -> tuple[str, ...]:
-        return tuple(spark.read.option("header", "true").csv(path).columns)
+        first = spark.read.options(**QUOTING).csv(path).first()
+        return tuple(c or "" for c in first) if first else ()
 
     layouts: dict[tuple[str, ...], list[str]] = defaultdict(list)
     with ThreadPoolExecutor(peek_threads) as pool:
@@ -88,8 +112,7 @@ def read_by_header(spark: SparkSession, files: Sequence[str], peek_threads: int
             layouts[names].append(path)
     out = None
     for names, paths in layouts.items():
-        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-        part = _csv(spark, schema, header=True).csv(paths).select("*", folder_year().alias("anio_carpeta"))
+        part = with_folder_year(_csv(spark, _by_position(names), header=True).csv(paths))
         part = rename_by_header(part)
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     if out is None:

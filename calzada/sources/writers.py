@@ -18,8 +18,8 @@ def by_year(df: DataFrame, year: str = "anio", balanced: bool = False) -> DataFr
 
 def write_csv_by_year(df: DataFrame, path: str, year: str = "anio", balanced: bool = False,
                       mode: str = "overwrite") -> None:
-    """One header per file, every year in its own folder; NULL and empty text are both blank cells."""
-    (by_year(df, year, balanced).write.mode(mode).option("header", "true")
+    """One header per file, every year in its own folder; NULL and empty text are both blank cells, quotes are doubled."""
+    (by_year(df, year, balanced).write.mode(mode).option("header", "true").option("escape", '"')
      .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false")
      .partitionBy(year).csv(path))
 

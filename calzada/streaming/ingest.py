@@ -6,12 +6,14 @@ a file is either in a finished batch or read again; nothing is loaded twice.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import zlib
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from calzada.operators.cleaning import clean, clean_for_csv
-from calzada.sources.readers import drop_empty_rows, folder_year, pad_columns, select_by_position
+from calzada.sources.readers import INPUT_FILES, QUOTING, drop_empty_rows, pad_columns, select_by_position, with_folder_year
 from calzada.sources.schemas import RAW_COLUMNS, raw_schema
 
 REJECTED = "registro"
@@ -19,22 +21,39 @@ FILES_PER_BATCH = 1_000
 
 
 def raw_stream(spark: SparkSession, source: str, n_columns: int = len(RAW_COLUMNS),
-               files_per_batch: int = FILES_PER_BATCH, keep_rejected: bool = True, header: bool = True) -> DataFrame:
+               files_per_batch: int = FILES_PER_BATCH, keep_rejected: bool = True, header: bool = True,
+               files: str = INPUT_FILES) -> DataFrame:
     """Raw text columns, the folder's year, and the original line of rows that do not fit.
 
-    ``source`` may be a glob such as ``base/*`` for year folders. Unreadable files are skipped.
+    ``source`` may be a glob such as ``base/*`` for year folders. Short rows are padded; a row with more cells
+    than columns, or with a quote left open, does not fit.
     """
+    reader = spark.readStream.option("maxFilesPerTrigger", str(files_per_batch))
+    return _parsed(reader, source, n_columns, keep_rejected, header, files)
+
+
+def _parsed(reader, source, n_columns: int, keep_rejected: bool, header: bool, files: str) -> DataFrame:
+    """The same rows for a stream and for a batch reader."""
     schema = raw_schema(n_columns)
     if keep_rejected:
         schema = T.StructType([*schema.fields, T.StructField(REJECTED, T.StringType())])
     reader = (
-        spark.readStream.schema(schema).option("header", str(header).lower()).option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", REJECTED).option("ignoreCorruptFiles", "true")
+        reader.schema(schema).option("header", str(header).lower()).option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", REJECTED).options(**QUOTING)
         .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false")
-        .option("recursiveFileLookup", "true").option("pathGlobFilter", "[!~]*")
-        .option("maxFilesPerTrigger", str(files_per_batch))
+        .option("recursiveFileLookup", "true").option("pathGlobFilter", files)
     )
-    return pad_columns(reader.csv(source).select("*", folder_year().alias("anio_carpeta")))
+    rows = with_folder_year(reader.csv(source))
+    if keep_rejected:
+        rows = rows.withColumn(REJECTED, F.when(_does_not_fit(F.col(REJECTED), n_columns), F.col(REJECTED)))
+    return pad_columns(rows)
+
+
+def _does_not_fit(line: Column, n_columns: int) -> Column:
+    """True for more cells than columns or an open quote; lines the parser only found short are NULL or false."""
+    quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
+    cells = F.size(F.split(line, r',(?=(?:[^"]*"[^"]*")*[^"]*$)'))
+    return (quotes % 2 == 1) | (cells > n_columns)
 
 
 def _typed_batch(batch: DataFrame) -> DataFrame:
@@ -44,24 +63,83 @@ def _typed_batch(batch: DataFrame) -> DataFrame:
     return clean(batch.where(bad | ~empty).withColumn("rechazada", bad), keep=("rechazada", REJECTED))
 
 
-def _write_batch(target: str):
+def _store(batch: DataFrame, target: str, name: str) -> None:
+    # A batch that is run again after a failure replaces its own folder.
+    _typed_batch(batch).write.mode("overwrite").partitionBy("rechazada", "anio").parquet(f"{target}/lote={name}")
+
+
+def _write_batch(target: str, on_failure=None):
     def write(batch: DataFrame, batch_id: int) -> None:
-        # A batch that is run again after a failure replaces its own folder.
-        (_typed_batch(batch).write.mode("overwrite").partitionBy("rechazada", "anio")
-         .parquet(f"{target}/lote={batch_id}"))
+        try:
+            _store(batch, target, str(batch_id))
+        except Exception as error:
+            if on_failure is None or not on_failure(batch_id):
+                raise error
     return write
 
 
+def _fault(spark: SparkSession, path: str) -> str | None:
+    """Why a file cannot be read to its end; NULL if it can."""
+    try:
+        spark.read.text(path).write.format("noop").mode("overwrite").save()
+    except Exception as error:
+        return str(error).strip().splitlines()[0][:500]
+    return None
+
+
+FAILED = "archivo string, error string"
+
+
+def _failures_at(target: str) -> str:
+    return f"{target.rstrip('/')}_fallidos"
+
+
+def failed_files(spark: SparkSession, target: str) -> DataFrame:
+    """(archivo, error) of the files that could not be read so far; each run tries them again."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(_failures_at(target))
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], FAILED)
+    return spark.read.schema(FAILED).parquet(_failures_at(target))
+
+
 def ingest_new_files(spark: SparkSession, source: str, target: str, checkpoint: str, n_columns: int = len(RAW_COLUMNS),
-                     files_per_batch: int = FILES_PER_BATCH, header: bool = True) -> bool:
-    """Load the files not loaded so far into ``target``; true if there were any."""
+                     files_per_batch: int = FILES_PER_BATCH, header: bool = True, files: str = INPUT_FILES) -> bool:
+    """Load the files not loaded so far into ``target``; true if there were any.
+
+    A damaged file loads nothing: it is noted in a table of its own (:func:`failed_files`), the other files of its
+    batch are loaded, and every later run tries it again.
+    """
+    def rows_of(paths: list[str]) -> DataFrame:
+        return _parsed(spark.read, paths, n_columns, True, header, files)
+
+    def without_damaged(batch_id: int) -> bool:
+        """Load a failed batch without its damaged files; false if none of them is damaged."""
+        log = spark.read.schema("path string, batchId long").json(f"{checkpoint}/sources/0")
+        paths = [r.path for r in log.where(F.col("batchId") == batch_id).where("path IS NOT NULL").distinct().collect()]
+        faults = {p: e for p in paths if (e := _fault(spark, p))}
+        if faults:
+            if len(faults) < len(paths):
+                _store(rows_of([p for p in paths if p not in faults]), target, str(batch_id))
+            known = {r.archivo for r in failed_files(spark, target).collect()}
+            new = [(p, e) for p, e in faults.items() if p not in known]
+            if new:
+                spark.createDataFrame(new, FAILED).coalesce(1).write.mode("append").parquet(_failures_at(target))
+        return bool(faults)
+
+    again = {r.archivo: r.error for r in failed_files(spark, target).collect()}
+    mended = [p for p in again if _fault(spark, p) is None]
+    for path in mended:
+        _store(rows_of([path]), target, f"r{zlib.crc32(path.encode())}")
+    if mended:
+        left = [(p, e) for p, e in again.items() if p not in mended]
+        spark.createDataFrame(left, FAILED).coalesce(1).write.mode("overwrite").parquet(_failures_at(target))
     query = (
-        raw_stream(spark, source, n_columns, files_per_batch, header=header).writeStream
-        .foreachBatch(_write_batch(target)).option("checkpointLocation", checkpoint)
+        raw_stream(spark, source, n_columns, files_per_batch, header=header, files=files).writeStream
+        .foreachBatch(_write_batch(target, without_damaged)).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return any(p["numInputRows"] > 0 for p in query.recentProgress)
+    return bool(mended) or any(p["numInputRows"] > 0 for p in query.recentProgress)
 
 
 def ingested(spark: SparkSession, target: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import gzip
 
 import pytest
@@ -75,6 +76,60 @@ def test_batch_etl(spark, base):
     assert rows["Av 80"].periodo_dia == "Noche"
 
 
+def test_runs_over_other_folders_keep_stray_years(spark, base):
+    put(base / "in/2019/b.csv", line(corredor="uno", hora="3", anio="2019"))
+    put(base / "in/2020/c.csv", line(corredor="dos", hora="3", anio="2019"))
+    for year in ("2019", "2020"):
+        etl.parquet_job(spark, str(base / f"in/{year}"), str(base / "out"), str(base / "todo"))
+    rows = spark.read.parquet(str(base / "out")).collect()
+    assert {"Uno", "Dos", "Calle 10A"} <= {r.corredor for r in rows} and len(rows) == 5
+    assert "Uno" not in {r.corredor for r in spark.read.parquet(str(base / "todo")).collect()}
+
+
+def test_only_inputs_are_read(spark, base):
+    for name in ("in/2019/notas.txt", "in/2019/~$a.csv", "viejo/x.csv"):
+        put(base / name, line(corredor="basura", hora="1"))
+    put(base / "in/20190101120000/z.csv", line(corredor="basura", hora="1"))
+    rows = readers.read_positional(spark, [str(base / "in"), str(base / "viejo")]).collect()
+    assert rows and "basura" not in {r.corredor for r in rows}
+    assert readers.discover_inputs(spark, str(base / "in")).count() >= 3
+
+
+def test_quotes_and_line_breaks_survive(spark, tmp_path):
+    cells = ['Calle "A", 5', 'dos\nlineas', "a,b", '"', "simple"]
+    df = spark.createDataFrame([(c, "2020") for c in cells], "corredor string, anio_carpeta string")
+    full = readers.pad_columns(df)
+    writers.write_csv_by_year(full, str(tmp_path / "t"), year="anio_carpeta")
+    back = readers.read_positional(spark, str(tmp_path / "t"), multi_line=True)
+    assert sorted(r.corredor for r in back.collect()) == sorted(cells)
+    with_csv = [row[list(readers.RAW_COLUMNS).index("corredor")] for f in (tmp_path / "t").rglob("*.csv") for row in list(csv.reader(f.open(newline="")))[1:]]
+    assert sorted(with_csv) == sorted(cells)
+
+
+def test_of_repeated_headers_the_first_counts(spark, base):
+    put(base / "h/2020/f.csv", "x,y,z,u,v", header="Carril,Comuna,Comuna,Hora,carril")
+    r = readers.read_by_header(spark, [str(base / "h/2020/f.csv")]).first()
+    assert (r.carril, r.comuna, r.hora) == ("x", "y", "u")
+
+
+def test_short_rows_are_padded_and_damaged_files_tried_again(spark, base):
+    put(base / "in/2020/corta.csv", ",".join(line(corredor="corta", hora="4").split(",")[:22]))
+    packed = gzip.compress("\n".join(["h"] + [line(corredor=f"r{i}", hora="5") for i in range(20_000)]).encode(), mtime=0)
+    (base / "in/2020/rota.csv.gz").write_bytes(packed[: len(packed) // 2])
+    source, target, log = str(base / "in/20*"), str(base / "t"), str(base / "log")
+    ingest.ingest_new_files(spark, source, target, log)
+    names = {r.corredor for r in ingest.ingested(spark, target).collect()}
+    assert {"Corta", "Calle 10A"} <= names and "R7" not in names
+    assert ingest.rejected(spark, target).count() == 0
+    assert [r.archivo.endswith("rota.csv.gz") for r in ingest.failed_files(spark, target).collect()] == [True]
+    before = ingest.ingested(spark, target).count()
+    ingest.ingest_new_files(spark, source, target, log)
+    assert ingest.ingested(spark, target).count() == before and ingest.failed_files(spark, target).count() == 1
+    (base / "in/2020/rota.csv.gz").write_bytes(packed)
+    assert ingest.ingest_new_files(spark, source, target, log)
+    assert ingest.ingested(spark, target).count() == before + 20_000 and ingest.failed_files(spark, target).count() == 0
+
+
 def test_rewriting_a_year_leaves_the_others(spark, tmp_path):
     df = spark.createDataFrame([(2019, "a"), (2020, "b")], "anio int, corredor string")
     writers.write_parquet_by_year(df, str(tmp_path / "t"))
