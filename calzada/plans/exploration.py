@@ -13,9 +13,9 @@ from calzada.operators.profile import describe, null_profile, top_nulls, value_c
 from calzada.plans.dashboard import top_by_volume
 
 
-def preview(df: DataFrame, n: int = 3) -> DataFrame:
-    """The first rows as they come."""
-    return df.limit(n)
+def preview(df: DataFrame, n: int = 3, order: str | None = None) -> DataFrame:
+    """The first rows in the order of a column; as they come without one."""
+    return (df.orderBy(order) if order else df).limit(n)
 
 
 def summary_statistics(df: DataFrame) -> DataFrame:

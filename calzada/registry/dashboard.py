@@ -138,7 +138,9 @@ ENTRIES = {
     "d23_newest_incidents": Entry(
         lambda f: d.newest_incidents(f.incidentes),
         "SELECT * FROM incidentes ORDER BY fecha_incidente DESC NULLS LAST, id LIMIT 500"),
-    "n1_preview": Entry(lambda f: n.preview(f.trafico)),
+    "n1_preview": Entry(
+        lambda f: n.preview(f.trafico.select("id", "fecha", "hora", "corredor", "velocidad_kmh"), order="id"),
+        "SELECT id, fecha, hora, corredor, velocidad_kmh FROM trafico ORDER BY id LIMIT 3"),
     "n1_describe": Entry(lambda f: n.summary_statistics(f.trafico), _describe("trafico", _NUMERIC)),
     "n2_traffic_nulls": Entry(
         lambda f: n.traffic_nulls(f.indexed), _nulls("indexado", _TRAFFIC_COLUMNS, "ORDER BY nulos DESC, columna LIMIT 10")),

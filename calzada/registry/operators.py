@@ -14,6 +14,7 @@ from calzada.registry.fixture import Fixture
 from calzada.registry.oracle import month_no, num, period, position, rush, title, whole
 from calzada.sources import catalog, readers, writers
 from calzada.sources.schemas import HEADERS, RAW_COLUMNS
+from calzada.sources.workspace import materialise
 from calzada.streaming import ingest
 
 _TEXT_COLUMNS = ("carril", "corredor", "comuna", "dia_semana", "mes", "sentido", "operacion", "tipo_subsistema", "identificador_fv")
@@ -187,6 +188,24 @@ def _rejects(f: Fixture):
     return table.agg(F.count_if(F.col("rechazada").cast("boolean")).alias("rechazadas"), F.count_if(~F.col("rechazada").cast("boolean")).alias("aceptadas"))
 
 
+def _sampled(f: Fixture):
+    """Facts about a sample of a stored table: its share, that its rows are the table's, that a seed repeats them."""
+    stored = materialise(f.trafico.select("id"), "muestra")
+    draws = stored.withColumn("k", F.lit(0))
+    for k in (1, 2):
+        draws = draws.unionByName(sampling.random_sample(stored).withColumn("k", F.lit(k)))
+    rows = draws.groupBy("id").agg(*[F.count_if(F.col("k") == k).alias(f"n{k}") for k in range(3)])
+    return rows.agg((F.sum("n1") / F.sum("n0")).between(0.12, 0.18).alias("cuota_cumplida"),
+                    F.bool_and(F.col("n1") <= F.col("n0")).alias("filas_conocidas"), F.bool_and(F.col("n1") == F.col("n2")).alias("repetible"))
+
+
+def _folded_join(f: Fixture):
+    """Severities joined with their spelling in capitals and without accents."""
+    levels = f.incidentes.where("gravedad IS NOT NULL").select(F.upper(F.translate("gravedad", "áéíóú", "aeiou")).alias("nivel")).distinct()
+    rows = f.incidentes.groupBy("gravedad").agg(F.count("*").alias("n"))
+    return rows.join(levels, text.folded(F.col("gravedad")) == text.folded(F.col("nivel"))).select("gravedad", "nivel", "n")
+
+
 def _index(method: str):
     def run(f: Fixture):
         df = congestion.congestion_index(f.cleaned, method)
@@ -322,7 +341,8 @@ ENTRIES = {
         lambda f: _counted(cleaning.narrow_types(f.cleaned), "hora", "dia_num", "mes_num", "anio", "velocidad_kmh"),
         """SELECT CAST(hora AS TINYINT) AS hora, CAST(dia_num AS TINYINT) AS dia_num, CAST(mes_num AS TINYINT) AS mes_num,
            CAST(anio AS SMALLINT) AS anio, CAST(velocidad_kmh AS FLOAT) AS velocidad_kmh, COUNT(*) AS n FROM limpio GROUP BY ALL"""),
-    "c18_random_sample": Entry(lambda f: sampling.random_sample(f.trafico)),
+    "c18_random_sample": Entry(
+        _sampled, "SELECT COUNT(*) > 0 AS cuota_cumplida, COUNT(*) > 0 AS filas_conocidas, COUNT(*) > 0 AS repetible FROM trafico"),
     "c19_modulus_sample": Entry(
         lambda f: sampling.modulus_sample(f.trafico, 0.2).select("id", "fecha", "hora", "corredor", "velocidad_kmh"),
         "SELECT id, fecha, hora, corredor, velocidad_kmh FROM trafico WHERE id % 5 = 0"),
@@ -390,9 +410,8 @@ ENTRIES = {
     "j3_point_per_corridor": Entry(
         lambda f: geo.one_point_per_corridor(f.coordenadas), "SELECT clave, corredor, latitud, longitud FROM puntos"),
     "j_folded_key_join": Entry(
-        lambda f: f.incidentes.groupBy("gravedad").agg(F.count("*").alias("n")).groupBy(text.folded(F.col("gravedad")) == F.lit("CRITICO").alias("g")
-                                                                                       ).agg(F.sum("n").alias("n")).toDF("es_critico", "n"),
-        "SELECT gravedad = 'Crítico' AS es_critico, COUNT(*) AS n FROM incidentes GROUP BY 1"),
+        _folded_join, """SELECT gravedad, upper(translate(gravedad, 'áéíóú', 'aeiou')) AS nivel, COUNT(*) AS n FROM incidentes
+                         WHERE gravedad IS NOT NULL GROUP BY 1, 2"""),
     "a2_a5_counts_and_distinct": Entry(
         lambda f: f.trafico.groupBy("anio").agg(
             F.count("*").alias("filas"), F.count("intensidad_veh_h").alias("con_intensidad"), F.countDistinct("corredor").alias("corredores")),
