@@ -102,16 +102,18 @@ class MTree:
                 if len(best) == k:
                     keep = scores >= best[0][0]
                     rows, scores = rows[keep], scores[keep]
+                # However many rows bear the query's own id, none of them may take a candidate's place.
+                keep = self.ids[rows] != own
+                rows, scores = rows[keep], scores[keep]
                 if len(rows) > 4 * k:
-                    cut = np.lexsort((self.ids[rows], -scores))[:k + 1]
+                    cut = np.lexsort((self.ids[rows], -scores))[:k]
                     rows, scores = rows[cut], scores[cut]
                 for score, id in zip(scores.tolist(), self.ids[rows].tolist()):
-                    if id != own:
-                        item = (int(score), -id)
-                        if len(best) < k:
-                            heapq.heappush(best, item)
-                        elif item > best[0]:
-                            heapq.heapreplace(best, item)
+                    item = (int(score), -id)
+                    if len(best) < k:
+                        heapq.heappush(best, item)
+                    elif item > best[0]:
+                        heapq.heapreplace(best, item)
                 continue
             for child in node.children:
                 if hopeless(float(bound(abs(at - child.up) - child.radius)), child.low):
@@ -142,9 +144,10 @@ def top_products(vectors: DataFrame, query_every: int = 20, k: int = 20, scale:
     length are not compared. A repeated row is a candidate for each time it occurs, but no row with the query's own id is.
     An empty table gives no rows. Other columns are ignored. The stated queries meet the chunks in blocks.
     """
+    # The number, once written, deals rows into chunks; a repeated id does not fall into one chunk whole.
     rows = materialise(vectors.where(usable()).where("vec_id IS NOT NULL").select(
-        F.col("vec_id").cast("long"), whole_vector(scale).alias("v"), F.size("embedding").alias("dim")), "topk-vectors")
-    draw = F.xxhash64("vec_id", F.lit("chunk"))
+        F.col("vec_id").cast("long"), whole_vector(scale).alias("v"), F.size("embedding").alias("dim"), F.monotonically_increasing_id().alias("row")), "topk-vectors")
+    draw = F.xxhash64("row", F.lit("chunk"))
     counts = rows.agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % query_every == 0).alias("q")).first()
     chunks, blocks = max(1, -(-counts.n // chunk)), max(1, -(-counts.q // block))
     every = lambda n: F.sequence(F.lit(0), F.lit(n - 1))

@@ -47,3 +47,20 @@ def test_products_beyond_floating_point():
     vectors = np.array([[2 ** 30, 1], [2 ** 30, 2], [2 ** 30, 3], [1, 1]], np.int64)
     tree = topk.MTree(np.arange(4), vectors)
     assert tree.search(vectors[2], 2, 2) == [(2 ** 60 + 6, 1), (2 ** 60 + 3, 0)]
+
+
+def test_copies_of_the_query_take_no_place(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=8).astype(np.float32).tolist()) for i in range(1, 300)]
+    rows += [(40, [9.0] * 8)] * 30
+    got = sorted(map(tuple, topk.top_products(frame(spark, rows)).where("query_id = 40").collect()))
+    # The 31 rows are two queries by vector, the one from the range and the repeated one.
+    want = [r for i in sorted({tuple(v) for j, v in rows if j == 40}) for r in brute([(40, list(i)), *(x for x in rows if x[0] != 40)]) if r[0] == 40]
+    assert got == sorted(want)
+
+
+def test_own_rows_in_a_leaf():
+    vectors = np.arange(1, 301)[:, None] * np.ones((1, 4), np.int64)
+    ids = np.where(np.arange(300) < 200, np.arange(300), 500)
+    tree = topk.MTree(ids, vectors)
+    assert [id for _, id in tree.search(vectors[299], 500, 20)] == list(range(199, 179, -1))
