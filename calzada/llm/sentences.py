@@ -17,10 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from calzada.llm.bpe import slices
+from calzada.llm.rows import told_apart
 from calzada.sources.workspace import materialise
 
 SENTENCE = regex.compile(r"[^.!?\n]*(?:[.!?]+|\n|$)[ \t\r\x0b\f\n]*")
-SPANS = "doc_id bigint, start int, stop int, h bigint, g bigint"
+SPANS = "doc_id bigint, copy bigint, start int, stop int, h bigint, g bigint"
 
 
 def sentences(text: str | None) -> list[str]:
@@ -46,7 +47,7 @@ def spans(parts: list[str], least_words: int, least_sentences: int, lone_words:
 
 
 def hashed_spans(docs: DataFrame, least_words: int, least_sentences: int, lone_words: int) -> DataFrame:
-    """(doc_id, start, stop, h, g): every run of every document with a 128-bit hash of its words."""
+    """(doc_id, copy, start, stop, h, g): every run of every document (doc_id, text, copy) with a 128-bit hash of its words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
@@ -61,36 +62,37 @@ def hashed_spans(docs: DataFrame, least_words: int, least_sentences: int, lone_w
                         stops.append(j)
                         hashes.append(xxhash.xxh3_128_digest(" ".join(clean[i:j])))
                 pair = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
+                rows = pa.array(own, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(own, pa.int64())), pa.array(starts, pa.int32()), pa.array(stops, pa.int32()),
-                     pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy())], ["doc_id", "start", "stop", "h", "g"])
+                    [batch.column(0).take(rows), batch.column(2).take(rows), pa.array(starts, pa.int32()), pa.array(stops, pa.int32()),
+                     pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy())], ["doc_id", "copy", "start", "stop", "h", "g"])
                 at += len(part)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SPANS)
+    return docs.select("doc_id", "text", "copy").mapInArrow(run, SPANS)
 
 
 def repeated(docs: DataFrame, least_words: int = 25, least_sentences: int = 2, lone_words: int = 50) -> DataFrame:
-    """(doc_id, cuts): ranges of sentences covered by runs that occur earlier."""
+    """(doc_id, copy, cuts): ranges of sentences covered by runs that occur earlier, of documents (doc_id, text, copy)."""
     runs = hashed_spans(docs, least_words, least_sentences, lone_words)
     # Counting combines map-side; only runs whose hash occurs again go on.
     again = materialise(runs.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "spans-again")
     shared = materialise(runs.join(again, "h", "left_semi"), "spans-shared")
-    place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "start")
+    place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "copy", "start")
     first = materialise(shared.groupBy("h", "g").agg(F.min(place).alias("first")), "spans-first")
     later = shared.join(first, ["h", "g"]).where(~place.eqNullSafe(F.col("first")))
-    return later.groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop")).alias("cuts"))
+    return later.groupBy("doc_id", "copy").agg(F.collect_set(F.struct("start", "stop")).alias("cuts"))
 
 
 def without_repeats(docs: DataFrame, least_words: int = 25, least_sentences: int = 2, lone_words: int = 50) -> DataFrame:
     """doc_id, n_sentences, n_removed, text (what is left) for every row.
 
-    NULL text stays NULL with no sentences. A NULL doc_id comes last in the order; rows with one doc_id count as one
-    document, so a passage at the same place in them is one occurrence. An empty table gives no rows.
-    Other columns are ignored.
+    NULL text stays NULL with no sentences. A NULL doc_id comes last in the order. Rows that repeat doc_id and text count
+    as one document, all others as documents of their own. An empty table gives no rows. Other columns are ignored.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    cuts = materialise(repeated(docs, least_words, least_sentences, lone_words), "spans-cuts").withColumnRenamed("doc_id", "cut_id")
-    rows = docs.join(cuts, F.col("doc_id").eqNullSafe(F.col("cut_id")), "left").select("doc_id", "text", "cuts")
+    docs = told_apart(docs)
+    cuts = materialise(repeated(docs, least_words, least_sentences, lone_words), "spans-cuts").withColumnsRenamed({"doc_id": "cut_id", "copy": "cut_copy"})
+    own = F.col("doc_id").eqNullSafe(F.col("cut_id")) & (F.col("copy") == F.col("cut_copy"))
+    rows = docs.join(cuts, own, "left").select("doc_id", "text", "cuts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

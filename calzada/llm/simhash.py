@@ -15,7 +15,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from calzada.llm.bpe import slices
@@ -55,14 +55,15 @@ def _fold(hashes: list[list[int]]) -> np.ndarray:
     return out.view(np.int64)
 
 
-def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
-    """(doc_id, fp) of every row; NULL and blank texts have fingerprint 0."""
+def fingerprints(docs: DataFrame, words: int = 4, digest: Column | None = None) -> DataFrame:
+    """(doc_id, fp) of every row, and digest if asked for; NULL and blank texts have fingerprint 0."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done = [_fold([fingerprint(t, words) for t in part.to_pylist()]) for part in slices(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(done) if done else [], pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(done) if done else [], pa.int64()), *batch.columns[2:]], ["doc_id", "fp", "digest"][:batch.num_columns])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id bigint, fp bigint")
+    more = [] if digest is None else [digest.alias("digest")]
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"), *more).mapInArrow(run, "doc_id bigint, fp bigint" + ", digest bigint" * len(more))
 
 
 def group_bits(sample: np.ndarray, parts: int) -> list[list[int]]:
@@ -227,6 +228,18 @@ def bucket_links(rows: DataFrame, limit: int, block: int = BLOCK) -> DataFrame:
     return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def linked(prints: DataFrame, limit: int, block: int) -> DataFrame:
+    """(fp, first, root) of every fingerprint of the written table (doc_id, fp): its smallest doc_id and its component."""
+    fps = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
+    n = fps.count()
+    # For the plan only: a bounded sample.
+    sample = np.array([r.fp for r in fps.orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()], np.int64).view(np.uint64)
+    chosen = plan(sample, n, limit)
+    links = bucket_links(materialise(keys(fps, chosen), "simhash-keys"), limit, block)
+    roots = components(links)
+    return materialise(fps.join(roots, fps.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "simhash-roots")
+
+
 def near_duplicates(docs: DataFrame, limit: int = 4, words: int = 4, block: int = BLOCK) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id that can be reached) of every row.
 
@@ -235,21 +248,21 @@ def near_duplicates(docs: DataFrame, limit: int = 4, words: int = 4, block: int
     rows. Other columns are ignored.
     """
     prints = materialise(fingerprints(docs, words), "simhash-prints")
-    fps = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    n = fps.count()
-    # For the plan only: a bounded sample.
-    sample = np.array([r.fp for r in fps.orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()], np.int64).view(np.uint64)
-    chosen = plan(sample, n, limit)
-    links = bucket_links(materialise(keys(fps, chosen), "simhash-keys"), limit, block)
-    roots = components(links)
-    placed = materialise(fps.join(roots, fps.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "simhash-roots")
+    placed = linked(prints, limit, block)
     smallest = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     ids = placed.join(smallest, "root").select("fp", "component_id")
     return prints.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """One document of each component: the one whose doc_id names it. Columns as they come."""
-    kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("key")).distinct()
-    rows = docs.select(F.struct("*").alias("doc"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("key"))
-    return rows.join(kept, "key", "left_semi").select("doc.*")
+def drop_near_copies(docs: DataFrame, limit: int = 4, words: int = 4) -> DataFrame:
+    """One row of each component: that of the smallest doc_id (NULL last), whatever else bears it. Columns as they come."""
+    # Texts under one doc_id are told apart by their digests; rows that repeat both are copies of one row.
+    digest = F.xxhash64(F.col("text").cast("binary"))
+    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("digest"))
+    prints = materialise(fingerprints(docs, words, digest), "simhash-prints")
+    placed = linked(prints, limit, BLOCK).select("fp", "root")
+    place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "digest")
+    kept = prints.join(placed, "fp").groupBy("root").agg(F.min(place).alias("best")).select("best.*").select(key.alias("key"))
+    rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long"), digest.alias("digest")).select("doc", key.alias("key"))
+    # The second step reuses the join's partitioning; it matters only for rows that repeat an identifier.
+    return rows.join(kept, "key", "left_semi").groupBy("key").agg(F.first("doc").alias("doc")).select("doc.*")

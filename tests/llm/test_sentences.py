@@ -54,3 +54,12 @@ def test_passages_and_odd_rows(spark):
 def test_cutting_loses_nothing():
     for text in ("a. b! c? d\ne\n\nf...g  . h", "...", "\n\n x", "x", "a.\tb"):
         assert "".join(S.sentences(text)) == text
+
+
+def test_rows_that_share_an_id_are_told_apart(spark):
+    say = lambda k: " ".join(f"v{k}x{i}" for i in range(15))
+    passage = f"{say(0)}. {say(1)}. "
+    rows = [(1, passage), (None, passage + "Left."), (None, f"{say(2)}. {say(3)}."), (None, f"{say(4)}. {say(5)}."), (None, f"{say(4)}. {say(5)}."),
+            (7, f"{say(6)}. {passage}"), (7, f"{say(7)}. {say(8)}. {say(9)}.")]
+    got = sorted(((r.doc_id, r.text) for r in S.without_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()), key=str)
+    assert got == sorted([rows[0], (None, "Left."), rows[2], rows[3], (None, ""), (7, f"{say(6)}. "), rows[6]], key=str)

@@ -88,3 +88,10 @@ def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(1_000, 2_000 + i) for i in range(50)] + [(5_000, 5_000), (None, 3)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 1_000: 1_000, **{2_000 + i: 1_000 for i in range(50)}}
+
+
+def test_one_row_of_a_component_stays_whatever_shares_its_id(spark):
+    say = lambda k: " ".join(f"v{k}x{i}" for i in range(80))
+    rows = [(1, say(0)), (1, say(1)), (1, say(0)), (2, say(0)), (3, say(1)), (None, say(2)), (None, say(2)), (None, say(3)), (None, say(1)), (4, None), (None, "")]
+    got = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, say(0)), (1, say(1)), (None, say(2)), (None, say(3)), (4, None)], key=str)
