@@ -33,20 +33,24 @@ def learn(docs: DataFrame, samples: int = SAMPLES, excerpt: int = EXCERPT) -> di
     Rows are dealt into ``samples`` cells by a hash, of each language and cell the lowest hash is taken. Only
     identifiers are aggregated (map-side); the texts chosen are fetched afterwards. Frequent languages come first.
     """
+    found: dict[str, dict] = {}
+    counts: dict[str, dict] = {}
+    for r in excerpts(docs, samples, excerpt).collect():
+        found.setdefault(r.lang, {})[r.doc_id] = r.piece
+        counts.setdefault(r.lang, {})[r.doc_id] = r.n
+    order = sorted(found, key=lambda lang: (-sum(counts[lang].values()), lang))
+    return {lang: "\n".join(found[lang][k] for k in sorted(found[lang])).encode() for lang in order}
+
+
+def excerpts(docs: DataFrame, samples: int, excerpt: int) -> DataFrame:
+    """(lang, doc_id, n, piece), one row for each chosen document, however many rows repeat its doc_id."""
     labelled = docs.select("doc_id", "lang", "text").where("doc_id IS NOT NULL AND lang IS NOT NULL AND length(text) > 0")
     draw = F.xxhash64("doc_id", F.lit("language"))
     chosen = labelled.groupBy("lang", F.pmod(draw, F.lit(samples)).alias("cell")).agg(
         F.count("*").alias("n"), F.min(F.struct(draw.alias("draw"), "doc_id")).alias("best")).select("lang", "n", F.col("best.doc_id").alias("doc_id"))
     start = F.pmod(draw, F.greatest(F.lit(1), F.length("text") - excerpt)).cast("int") + 1
     rows = labelled.join(chosen, ["lang", "doc_id"]).select("lang", "doc_id", "n", F.lower(F.substring("text", start, F.lit(excerpt))).alias("piece"))
-    found: dict[str, dict] = {}
-    counts: dict[str, dict] = {}
-    for r in rows.collect():
-        own = found.setdefault(r.lang, {})
-        own[r.doc_id] = max(own.get(r.doc_id, ""), r.piece)
-        counts.setdefault(r.lang, {})[r.doc_id] = r.n
-    order = sorted(found, key=lambda lang: (-sum(counts[lang].values()), lang))
-    return {lang: "\n".join(found[lang][k] for k in sorted(found[lang])).encode() for lang in order}
+    return rows.groupBy("lang", "doc_id").agg(F.max("n").alias("n"), F.max("piece").alias("piece"))
 
 
 class Classifier:

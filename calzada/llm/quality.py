@@ -90,7 +90,11 @@ def learn(docs: DataFrame, labels: DataFrame, samples: int = SAMPLES) -> tuple[n
         made = [features(t) for part in slices(texts) for t in part.to_pylist()]
         return pa.StructArray.from_arrays([pa.array([m[0] for m in made], pa.list_(pa.int32())), pa.array([m[1] for m in made], pa.list_(pa.float32()))], ["ids", "shares"])
 
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "label", to_features(F.col("text").cast("string")).alias("f"))
+    # Of several rows of one document one counts, picked on the executors.
+    text = F.col("text").cast("string")
+    own = docs.select("doc_id", text.alias("text")).where("text IS NOT NULL").join(chosen, "doc_id")
+    own = own.groupBy("doc_id", "label").agg(F.max_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    rows = own.select("doc_id", "label", to_features("text").alias("f"))
     table = rows.select("doc_id", "label", "f.ids", "f.shares").toArrow().sort_by("doc_id")
     made = [(ids.values.to_numpy(), shares.values.to_numpy(), int(label == 1)) for ids, shares, label in
             zip(table["ids"], table["shares"], table["label"].to_pylist()) if len(ids)]

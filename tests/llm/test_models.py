@@ -101,3 +101,14 @@ def test_every_stage_does_its_work(spark, tmp_path):
         if name != "byte_bpe":
             assert out.columns == now.columns
         now = out
+
+
+def test_repeated_ids_are_learned_once(spark):
+    rows = [(i, f"text number {i} of its own kind " * (3 + i % 5), "en" if i % 2 else "de") for i in range(60)]
+    more = rows + [(i, text + f" again {n}", lang) for i, text, lang in rows[:4] for n in range(50)]
+    one, two = (spark.createDataFrame(x, "doc_id bigint, text string, lang string") for x in (rows, more))
+    assert language.excerpts(two, 256, 1_000).groupBy("lang", "doc_id").count().where("count > 1").isEmpty()
+    labels = spark.createDataFrame([(i, i % 3 % 2) for i in range(60)], "doc_id bigint, quality int")
+    repeated = one.unionByName(one).unionByName(one)
+    (a, bias), (b, other) = quality.learn(one, labels), quality.learn(repeated, labels)
+    assert (a == b).all() and bias == other
