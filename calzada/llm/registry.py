@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from calzada.llm import bpe, exact_dedup, language, lines, mixing, quality, sentences, simhash, token_counts, topk
+from calzada.llm import (
+    bpe, exact_dedup, language, lexical, lines, mixing, negatives, quality, sentences, sharding, simhash, token_counts, topk)
 
 
 def table(spark, sf_dir, name):
@@ -51,6 +53,19 @@ def op10_quality(spark, sf_dir):
     return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_hard_negatives(spark, sf_dir):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), label)
+
+
+def op12_sharding(spark, sf_dir):
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
+def op13_lexical_search(spark, sf_dir):
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_top_products": op1_top_products,
     "op2_token_counts": op2_token_counts,
@@ -62,6 +77,9 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_quality": op10_quality,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_sharding": op12_sharding,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 
@@ -119,4 +137,54 @@ ORACLES = {
                           count(*) OVER (PARTITION BY text_sha256) AS group_size
                    FROM t WINDOW w AS (PARTITION BY text_sha256 ORDER BY points DESC, doc_id))
         SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM g""",
+    "op11_hard_negatives": """
+        WITH v AS MATERIALIZED (
+                 SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                        list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+                 FROM embeddings
+                 WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+                   AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+             s AS MATERIALIZED (
+                 SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+                 FROM v a JOIN v b ON len(a.v) = len(b.v) WHERE a.vec_id % 100 = 0),
+             p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same AND vec_id <> anchor_id
+                   QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+        SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+               row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank
+        FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 100 * score BETWEEN 30 * positive_score AND 90 * positive_score
+        QUALIFY rank <= 10""",
+    "op12_sharding": """
+        WITH RECURSIVE
+             d AS (SELECT doc_id, coalesce(text, '') AS text, substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 16) AS draw FROM documents),
+             chain AS (SELECT draw, n, ('0x' || draw)::UBIGINT AS state, 0::BIGINT AS shard, 0::BIGINT AS ahead
+                       FROM (SELECT DISTINCT draw FROM d), (VALUES (16), (17)) s(n)
+                       UNION ALL
+                       SELECT draw, n, state, ahead, floor((ahead + 1) * (2147483648::DOUBLE / ((state >> 33) + 1)::DOUBLE))::BIGINT
+                       FROM (SELECT draw, n, ahead, ((state::HUGEINT * 2862933555777941757 + 1) % 18446744073709551616)::UBIGINT AS state
+                             FROM chain WHERE ahead < n)),
+             shards AS (SELECT draw, max(shard) FILTER (n = 16)::INT AS shard, max(shard) FILTER (n = 17)::INT AS grown_shard
+                        FROM chain WHERE ahead >= n GROUP BY draw),
+             steps AS (SELECT list(v ORDER BY i) AS steps
+                       FROM (SELECT i, list_reduce(range(8), lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, i) AS v
+                             FROM range(256) r(i))),
+             c AS (SELECT doc_id, draw, strlen(text) + 1 AS size, xor(4294967295, list_reduce(
+                          list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::BIGINT),
+                          lambda a, x: xor(a >> 8, steps[xor(a & 255, x) + 1]), 4294967295)) AS text_crc32
+                   FROM d, steps)
+        SELECT doc_id, size, text_crc32, 'key' AS law, shard, grown_shard,
+               row_number() OVER (PARTITION BY shard ORDER BY draw, doc_id NULLS LAST, size, text_crc32) - 1 AS slot
+        FROM c JOIN shards USING (draw)""",
+    "op13_lexical_search": rf"""
+        WITH t AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{lexical.UPPER}', '{lexical.LOWER}'),
+                          '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+             d AS (SELECT row, doc_id, len(terms) AS n, unnest(terms) AS term FROM t WHERE len(terms) > 0),
+             f AS (SELECT row, doc_id, n, term, count(*) AS tf FROM d GROUP BY ALL),
+             a AS (SELECT count(*) AS docs, sum(len(terms))::BIGINT AS total FROM t WHERE len(terms) > 0),
+             w AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM f, a GROUP BY term),
+             i AS (SELECT DISTINCT item_id, text, unnest(regexp_extract_all(translate(text, '{lexical.UPPER}', '{lexical.LOWER}'),
+                          '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+             s AS (SELECT item_id, text, row, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // total))))::BIGINT AS score
+                   FROM i JOIN f USING (term) JOIN w USING (term), a GROUP BY ALL)
+        SELECT item_id, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank, doc_id, score
+        FROM s WHERE score > 0 QUALIFY rank <= 10""",
 }
