@@ -45,14 +45,18 @@ def typed_columns(folder_year: Column, null_text: str = "null", layouts: Sequenc
         "sentido": text.normal_upper(c["sentido"], null_text),
         "operacion": text.normal_lower(c["operacion"], null_text),
         "tipo_subsistema": text.normal_plain(c["tipo_subsistema"], null_text),
-        "identificador_fv": text.normal_plain(c["identificador_fv"], null_text),
+        # The Parquet form leaves this one as it is, blanks and gaps included.
+        "identificador_fv": c["identificador_fv"] if null_text == "pandas" else text.normal_plain(c["identificador_fv"], null_text),
     }
     return out
 
 
-def with_derived(df: DataFrame) -> DataFrame:
-    """Day period and rush-hour flag."""
-    return df.withColumns({"periodo_dia": tr.day_period(F.col("hora")), "es_hora_pico": tr.rush_hour(F.col("hora"))})
+def with_derived(df: DataFrame, null_text: str = "null") -> DataFrame:
+    """Day period and rush-hour flag. An hour without a period has none, or the text ``nan`` in the two forms that hold text."""
+    period = tr.day_period(F.col("hora"))
+    if null_text != "null":
+        period = F.coalesce(period, F.lit("nan"))
+    return df.withColumns({"periodo_dia": period, "es_hora_pico": tr.rush_hour(F.col("hora"))})
 
 
 def clean(df: DataFrame, folder_year: str = "anio_carpeta", null_text: str = "null",
@@ -62,7 +66,7 @@ def clean(df: DataFrame, folder_year: str = "anio_carpeta", null_text: str = "nu
     ``layouts`` are patterns for dates that are not ISO, tried in order.
     """
     typed = typed_columns(F.col(folder_year).cast("int"), null_text, layouts)
-    return with_derived(df.select(*[typed[c].alias(c) for c in RAW_COLUMNS], *keep))
+    return with_derived(df.select(*[typed[c].alias(c) for c in RAW_COLUMNS], *keep), null_text)
 
 
 def clean_incidents(df: DataFrame) -> DataFrame:

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from calzada.operators.cleaning import clean, clean_for_csv
 from calzada.operators.congestion import congestion_index
 from calzada.operators.sampling import random_sample
-from calzada.sources.readers import drop_empty_rows, read_positional, select_by_position
+from calzada.sources.lines import REJECTED, read_rows
+from calzada.sources.readers import drop_empty_rows, select_by_position
+from calzada.sources.schemas import RAW_COLUMNS
 from calzada.sources.workspace import drop_folder, materialise, new_folder
 from calzada.sources.writers import write_csv_by_year, write_parquet, write_parquet_by_year
 
@@ -27,21 +29,30 @@ def traffic_table(raw: DataFrame, method: str = "p95_year", fraction: float | No
 
 
 def parquet_job(spark: SparkSession, source: str, yearly: str, unified: str | None = None,
-                fraction: float | None = None, n_columns: int = 25) -> DataFrame:
+                fraction: float | None = None, n_columns: int = 25, widest: int = 1_000) -> DataFrame:
     """Raw CSV folders to Parquet per year and, if wanted, one unified table; returns the summary.
 
+    Lines with more than ``widest`` cells or a quote left open go as they are to the folder beside ``yearly`` that ends in
+    ``_rechazos``; of the others, cells past the columns are dropped.
+
     The cleaned rows go to the work folder without their index first: its divisors need a second look
     at the data, and reading one Parquet column again is far cheaper than parsing the text twice. That copy is
     deleted at the end, also after a failure. Tables are kept by the year of the *folder* (``anio_carpeta``): a run
     replaces the folders it has read and no others, whatever years their cells name. Summary and unified table
     cover the folders of this run.
     """
-    raw = drop_empty_rows(read_positional(spark, source, n_columns))
+    bad = F.col(REJECTED).isNotNull()
+    raw = read_rows(spark.read, source, n_columns, widest).where(bad | ~F.forall(F.array(*RAW_COLUMNS), lambda c: c.isNull()))
     rows = raw if fraction is None else random_sample(raw, fraction)
     staged = new_folder(spark, "sin_indice")
     try:
-        write_parquet_by_year(clean(rows, keep=("anio_carpeta",)), staged, "anio_carpeta", sort_by=None)
-        indexed = spark.read.parquet(staged)
+        write_parquet_by_year(clean(rows, keep=("anio_carpeta", REJECTED)), staged, "anio_carpeta", sort_by=None)
+        read = spark.read.parquet(staged)
+        rejects = read.where(bad).select("anio_carpeta", F.col(REJECTED).alias("value"))
+        if not rejects.isEmpty():
+            (rejects.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("anio_carpeta")
+             .text(f"{yearly.rstrip('/')}_rechazos"))
+        indexed = read.where(~bad).drop(REJECTED)
         folders = [r.anio_carpeta for r in indexed.select("anio_carpeta").distinct().collect()]
         write_parquet_by_year(congestion_index(indexed), yearly, "anio_carpeta")
     finally:

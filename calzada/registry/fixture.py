@@ -98,7 +98,7 @@ _RAW = {
         WHEN 2 THEN NULL ELSE '1500000' END""",
     "latitud": """CASE n_nationkey % 4 WHEN 0 THEN concat(CAST(1160000 + l_suppkey % 1000 * 45 AS VARCHAR(12)), '.5') WHEN 1 THEN '0'
         ELSE '1180000' END""",
-    "identificador_fv": "CASE WHEN l_orderkey % 2 = 0 THEN ' F ' ELSE 'V' END",
+    "identificador_fv": "CASE WHEN l_orderkey % 53 = 0 THEN 'V \"bis\", 2' WHEN l_orderkey % 2 = 0 THEN ' F ' ELSE 'V' END",
     "comuna": """CASE n_nationkey WHEN 1 THEN 'el poblado ' WHEN 2 THEN 'LA CANDELARIA' WHEN 3 THEN 'barrio belen sur'
         WHEN 5 THEN 'Santa Cruz' WHEN 6 THEN NULL WHEN 7 THEN '' WHEN 9 THEN 'Laureles - Estadio' WHEN 10 THEN 'None'
         WHEN 11 THEN 'candelaria norte' ELSE n_name END""",

@@ -156,36 +156,55 @@ def _batch_etl(f: Fixture):
 
 
 def _ingest(f: Fixture):
-    source, target, log = _land(f, "entrada"), f.folder("ingerido"), f.folder("registro")
+    source, target = _land(f, "entrada"), f.folder("ingerido")
     for _ in range(2):  # the second run finds nothing new
-        ingest.ingest_new_files(f.spark, source, target, log, files_per_batch=25)
+        ingest.ingest_new_files(f.spark, source, target, files_per_batch=25)
     return _by_year(ingest.ingested(f.spark, target))
 
 
+def _ledger(f: Fixture):
+    """One file a year, in two runs: what the ledger says and how many rows each file has brought."""
+    source, target = f.folder("entrada"), f.folder("ingerido")
+    writers.write_csv_by_year(f.raw.select(*RAW_COLUMNS, "anio_carpeta").repartition("anio_carpeta"), source, year="anio_carpeta")
+    ingest.ingest_new_files(f.spark, f"{source}/anio_carpeta=199[2-7]", target, files_per_batch=4)
+    ingest.ingest_new_files(f.spark, source, target, files_per_batch=4)
+    state = ingest.ledger_of(f.spark, target).latest()
+    rows = f.spark.read.parquet(target).where(~F.col("rechazada")).groupBy("lote").agg(F.count("*").alias("filas"))
+    return state.join(rows, "lote").select(F.regexp_extract("archivo", readers.YEAR_FOLDER, 1).cast("int").alias("anio"), "estado", "intento", "filas")
+
+
 def _csv_ingest(f: Fixture):
     source, target, log = _land(f, "entrada"), f.folder("csv_ingerido"), f.folder("registro")
     for _ in range(2):
         ingest.csv_stream(f.spark, source, target, log)
-    back = f.spark.read.option("header", "true").csv(target)
-    return back.groupBy("anio").agg(
-        F.count("*").alias("filas"), F.sum(F.col("hora").cast("int")).alias("suma_horas"),
-        F.count_if(F.col("corredor").isNull()).alias("sin_corredor"), F.max("corredor").alias("corredor_max"))
+    return _counted(f.spark.read.option("header", "true").options(**readers.QUOTING).csv(target), *RAW_COLUMNS)
 
 
+_CSV_CELLS = {
+    **{c: f"NULLIF(trim({c}), '')" for c in RAW_COLUMNS}, "hora": f"CAST({whole('hora')} AS VARCHAR)", "mes_num": f"CAST({month_no('mes')} AS VARCHAR)",
+    "anio": "anio_carpeta", "corredor": title("NULLIF(trim(corredor), '')"), "sentido": "upper(trim(sentido))", "operacion": "lower(NULLIF(trim(operacion), ''))"}
+_CSV_ROWS_SQL = "SELECT " + ", ".join(f"{e} AS {c}" for c, e in _CSV_CELLS.items()) + ", COUNT(*) AS n FROM crudo GROUP BY ALL"
 _CSV_SQL = f"""SELECT anio_carpeta AS anio, COUNT(*) AS filas, CAST(SUM({whole('hora')}) AS BIGINT) AS suma_horas,
     COUNT(*) FILTER (WHERE COALESCE(trim(corredor), '') = '') AS sin_corredor, MAX({title("COALESCE(trim(corredor), '')")}) AS corredor_max
     FROM crudo GROUP BY anio_carpeta"""
 
 
 def _rejects(f: Fixture):
-    """The rows of one lane arrive with a cell too many."""
-    source, target, log = f.folder("entrada"), f.folder("ingerido"), f.folder("registro")
-    line = F.concat_ws(",", *[F.coalesce(c, F.lit("")) for c in RAW_COLUMNS])
-    extra = F.when(F.trim("carril") == "carril 3", ",sobra").otherwise("")
-    f.raw.select(F.concat(line, extra).alias("value"), "anio_carpeta").write.partitionBy("anio_carpeta").text(source)
-    ingest.ingest_new_files(f.spark, source, target, log, header=False, files="*.txt")
-    table = f.spark.read.parquet(target)
-    return table.agg(F.count_if(F.col("rechazada").cast("boolean")).alias("rechazadas"), F.count_if(~F.col("rechazada").cast("boolean")).alias("aceptadas"))
+    """The rows of one lane arrive with a cell too many, those of another with a quote left open."""
+    source, target = f.folder("entrada"), f.folder("ingerido")
+    quoted = lambda c: F.when(F.contains(c, F.lit('"')) | F.contains(c, F.lit(",")),
+                              F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.coalesce(c, F.lit("")))
+    line = F.concat_ws(",", *[quoted(F.col(c)) for c in RAW_COLUMNS])
+    lane = F.trim("carril")
+    line = F.when(lane == "carril 3", F.concat(line, F.lit(",sobra"))).when(lane == "carril 4", F.concat(line, F.lit(',"abierta'))).otherwise(line)
+    f.raw.select(line.alias("value"), "anio_carpeta").write.partitionBy("anio_carpeta").text(source)
+    ingest.ingest_new_files(f.spark, source, target, header=False, files="*.txt")
+    taken = ingest.ingested(f.spark, target).agg(F.lit(None).cast("string").alias("registro"), F.count("*").alias("n"))
+    return _counted(ingest.rejected(f.spark, target), "registro").unionByName(taken)
+
+
+_LINE = "concat_ws(',', " + ", ".join(
+    f"""CASE WHEN contains({c}, '"') OR contains({c}, ',') THEN '"' || replace({c}, '"', '""') || '"' ELSE COALESCE({c}, '') END""" for c in RAW_COLUMNS) + ")"
 
 
 def _sampled(f: Fixture):
@@ -310,13 +329,15 @@ ENTRIES = {
     "c9_date_coercion": Entry(
         lambda f: _counted(f.cleaned, "fecha_trafico", "fecha"), "SELECT fecha_trafico, fecha, COUNT(*) AS n FROM limpio GROUP BY ALL"),
     "c10_text_normalisation": Entry(
-        lambda f: _counted(cleaning.clean(readers.drop_empty_rows(f.raw), null_text="pandas"), *_TEXT_COLUMNS),
-        "SELECT " + ", ".join(
-            f"COALESCE({c}, '{'NAN' if c == 'sentido' else 'nan' if c in ('operacion', 'tipo_subsistema', 'identificador_fv') else 'Nan'}') AS {c}"
-            for c in _TEXT_COLUMNS) + ", COUNT(*) AS n FROM limpio GROUP BY ALL"),
+        lambda f: _counted(cleaning.clean(readers.drop_empty_rows(f.raw), null_text="pandas"), *_TEXT_COLUMNS, "periodo_dia"),
+        "SELECT " + ", ".join(f"COALESCE({title(f'trim({c})')}, 'Nan') AS {c}" for c in ("carril", "corredor", "comuna", "dia_semana", "mes"))
+        + f""", COALESCE(upper(trim(sentido)), 'NAN') AS sentido, COALESCE(lower(trim(operacion)), 'nan') AS operacion,
+            COALESCE(trim(tipo_subsistema), 'nan') AS tipo_subsistema, identificador_fv, COALESCE({period('entera')}, 'nan') AS periodo_dia, COUNT(*) AS n
+            FROM (SELECT *, {whole('hora')} AS entera FROM crudo) c GROUP BY ALL"""),
     "c11_text_normalisation_empty": Entry(
-        lambda f: _counted(cleaning.clean(readers.drop_empty_rows(f.raw), null_text="empty"), *_TEXT_COLUMNS),
-        "SELECT " + ", ".join(f"COALESCE({c}, '') AS {c}" for c in _TEXT_COLUMNS) + ", COUNT(*) AS n FROM limpio GROUP BY ALL"),
+        lambda f: _counted(cleaning.clean(readers.drop_empty_rows(f.raw), null_text="empty"), *_TEXT_COLUMNS, "periodo_dia"),
+        "SELECT " + ", ".join(f"COALESCE({c}, '') AS {c}" for c in _TEXT_COLUMNS)
+        + ", COALESCE(periodo_dia, 'nan') AS periodo_dia, COUNT(*) AS n FROM limpio GROUP BY ALL"),
     "c12_c13_period_and_rush_hour": Entry(
         lambda f: _counted(f.cleaned, "hora", "periodo_dia", "es_hora_pico"),
         f"SELECT hora, {period('hora')} AS periodo_dia, {rush('hora')} AS es_hora_pico, COUNT(*) AS n FROM limpio GROUP BY ALL"),
@@ -445,9 +466,12 @@ ENTRIES = {
     # Incremental ingest
     "r1_r2_resumable_ingest": Entry(
         _ingest, f"SELECT anio, {_BY_YEAR} FROM (SELECT * REPLACE (NULLIF(corredor, '') AS corredor) FROM limpio) l GROUP BY anio"),
-    "r3_csv_stream": Entry(_csv_ingest, _CSV_SQL),
+    "r1_ledger_of_files": Entry(
+        _ledger, "SELECT anio_carpeta AS anio, 'cargado' AS estado, 1 AS intento, COUNT(*) AS filas FROM crudo GROUP BY anio_carpeta"),
+    "r3_csv_stream": Entry(_csv_ingest, _CSV_ROWS_SQL),
     "r4_rejected_rows": Entry(
         _rejects,
-        """SELECT COUNT(*) FILTER (WHERE trim(carril) = 'carril 3') AS rechazadas, COUNT(*) FILTER (WHERE trim(carril) <> 'carril 3') AS aceptadas
-           FROM crudo"""),
+        f"""SELECT {_LINE} || CASE trim(carril) WHEN 'carril 3' THEN ',sobra' ELSE ',"abierta' END AS registro, COUNT(*) AS n
+            FROM crudo WHERE trim(carril) IN ('carril 3', 'carril 4') GROUP BY 1
+            UNION ALL SELECT NULL, COUNT(*) FROM crudo WHERE trim(carril) NOT IN ('carril 3', 'carril 4')"""),
 }
