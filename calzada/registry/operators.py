@@ -8,12 +8,13 @@ from calzada.functions import dates, numbers, text
 from calzada.functions import traffic as tr
 from calzada.operators import cleaning, congestion, filters, geo, profile, sampling
 from calzada.operators.quantiles import exact_quantiles
-from calzada.plans import dashboard, etl, forecast
+from calzada.plans import analytics, dashboard, etl, forecast
 from calzada.registry.base import Entry
 from calzada.registry.fixture import Fixture
 from calzada.registry.oracle import month_no, num, period, position, rush, title, whole
 from calzada.sources import catalog, readers, writers
-from calzada.sources.schemas import HEADERS, RAW_COLUMNS
+from calzada.sources.schemas import CRITICAL_ZONES, HEADERS, RAW_COLUMNS
+from calzada.sources.versions import VersionedTable
 from calzada.sources.workspace import materialise
 from calzada.streaming import ingest
 
@@ -139,6 +140,23 @@ def _append_and_reload(f: Fixture):
     return f.spark.read.parquet(path).groupBy("anio").agg(F.count("*").alias("filas"), F.countDistinct("id").alias("ids"))
 
 
+def _reloaded(f: Fixture):
+    """A table opened before a reload and one opened after it."""
+    table = VersionedTable(f.spark, f.folder("incidentes"))
+    table.reload(f.incidentes)
+    before = table.read()
+    table.reload(f.incidentes.where(F.col("anio") >= 1995), partition_by=["anio"])
+    counts = [df.groupBy("anio").agg(F.count("*").alias(n)) for df, n in ((before, "antes"), (table.read(), "ahora"))]
+    return counts[0].join(counts[1], "anio", "left")
+
+
+def _summary_table(f: Fixture):
+    table = VersionedTable(f.spark, f.folder("zonas_criticas"))
+    for _ in range(2):
+        table.reload(analytics.critical_zones(f.trafico))
+    return table.read(CRITICAL_ZONES)
+
+
 def _export(f: Fixture):
     columns = [c for c in f.trafico.columns if not c.startswith("categoria") and c != "id"]
     sample = sampling.modulus_sample(f.trafico, 0.2)
@@ -289,6 +307,12 @@ ENTRIES = {
     "s11_unified_parquet": Entry(_unified_sink, f"SELECT anio, {_BY_YEAR} FROM limpio GROUP BY anio"),
     "s12_s13_append_and_reload": Entry(
         _append_and_reload, "SELECT anio, COUNT(*) AS filas, COUNT(DISTINCT id) AS ids FROM incidentes GROUP BY anio"),
+    "s13_reload_without_gap": Entry(
+        _reloaded, """SELECT anio, COUNT(*) AS antes, CASE WHEN anio >= 1995 THEN COUNT(*) END AS ahora FROM incidentes GROUP BY anio"""),
+    "s14_summary_table": Entry(
+        _summary_table,
+        """SELECT corredor, comuna, COUNT(*) AS total_registros, AVG(velocidad_kmh) AS velocidad_promedio, AVG(intensidad_veh_h) AS intensidad_promedio,
+           AVG(ocupacion) AS ocupacion_promedio FROM trafico GROUP BY corredor, comuna"""),
     "s17_load_audit": Entry(
         lambda f: writers.load_audit(trafico=f.trafico, incidentes=f.incidentes),
         """SELECT 'trafico' AS tabla, anio, COUNT(*) AS filas FROM trafico GROUP BY anio
