@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from calzada.operators.quantiles import exact_quantiles
+from calzada.operators.brackets import bracketed_quantiles, finite, fractions, sketch
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -39,18 +39,29 @@ def numeric_columns(df: DataFrame) -> list[str]:
 
 
 def describe(df: DataFrame, columns: Sequence[str] | None = None, digits: int = 6) -> DataFrame:
-    """count, mean, std, min, exact quartiles and max, one row per numeric column."""
+    """count, mean, std, min, exact quartiles and max, one row per numeric column; runs when called.
+
+    Two scans, whatever the values: the second one takes the quartiles from the brackets that the sketches of the first give.
+    """
     columns = list(columns or numeric_columns(df))
+    made = "columna string, count bigint, mean double, std double, min double, p25 double, p50 double, p75 double, max double"
+    if not columns:
+        return df.sparkSession.createDataFrame([], made)
     values = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    base = values.agg(F.array(*[F.struct(
-        F.lit(c).alias("columna"), F.count(c).alias("count"), F.round(F.avg(c), digits).alias("mean"),
-        F.round(F.stddev(c), digits).alias("std"), F.min(c).alias("min"), F.max(c).alias("max")) for c in columns]
-    ).alias("c")).select(F.inline("c"))
-    found = exact_quantiles(values.unpivot([], columns, "columna", "valor"), "columna", "valor", QUARTILES)
-    quart = found.groupBy("columna").agg(*[
-        F.round(F.max(F.when(F.col("q") == q, F.col("valor"))), digits).alias(f"p{int(q * 100)}") for q in QUARTILES])
-    return base.join(quart, "columna", "left").select(
-        "columna", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
+    first = values.agg(*[F.struct(
+        F.count(c).alias("count"), F.round(F.avg(c), digits).alias("mean"), F.round(F.stddev(c), digits).alias("std"), F.min(c).alias("min"),
+        F.max(c).alias("max"), F.count(finite(c)).alias("n"), sketch(finite(c), fractions(QUARTILES)).alias("points")).alias(f"c{i}") for i, c in enumerate(columns)]).first()
+    base = dict(zip(columns, first))
+    found = bracketed_quantiles(values, columns, QUARTILES, {(None, c): (base[c]["n"], base[c]["points"]) for c in columns})
+    rows = [(c, base[c]["count"], base[c]["mean"], base[c]["std"], base[c]["min"], *(found.get((None, c, q)) for q in QUARTILES), base[c]["max"])
+            for c in columns]
+    table = df.sparkSession.createDataFrame(rows, made)
+    return table.withColumns({p: F.round(p, digits) for p in ("p25", "p50", "p75")})
+
+
+def column_types(df: DataFrame) -> DataFrame:
+    """(orden, columna, tipo) of every column; metadata only, no job."""
+    return df.sparkSession.createDataFrame([(i, *pair) for i, pair in enumerate(df.dtypes, 1)], "orden int, columna string, tipo string")
 
 
 def schema_table(df: DataFrame) -> list[tuple[str, str]]:

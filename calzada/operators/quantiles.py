@@ -7,20 +7,37 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from calzada.operators.brackets import bracketed_quantiles, finite, fractions, sketch
 from calzada.sources.workspace import materialise
 
 
-def exact_quantiles(df: DataFrame, group: str, value: str, qs: Sequence[float]) -> DataFrame:
+# Groups whose sketches the driver will hold; beyond, the distinct values are put in order instead.
+MOST_GROUPS = 1_000
+
+
+def exact_quantiles(df: DataFrame, group: str, value: str, qs: Sequence[float], most_groups: int = MOST_GROUPS) -> DataFrame:
     """(group, q, valor) for each group and fraction, over finite values; runs when called.
 
-    Rows are counted per (group, value): partial counts combine map-side, so a hot group costs no task more
-    than its share. The distinct pairs are put in order by range partitions, as many as the session has shuffle
+    Up to ``most_groups`` groups take two scans, by :mod:`~calzada.operators.brackets`, and write nothing; more of them are
+    counted by value and put in order (:func:`quantiles_of_counts`). Both ways are exact.
+    """
+    rows = df.where(F.col(group).isNotNull())
+    v = finite(value)
+    heads = rows.groupBy(group).agg(F.count(v).alias("n"), sketch(v, fractions(qs)).alias("points")).limit(most_groups + 1).collect()
+    if len(heads) > most_groups:
+        return quantiles_of_counts(rows.where(v.isNotNull()).groupBy(group, v.alias("v")).agg(F.count("*").alias("n")), group, qs)
+    found = bracketed_quantiles(rows, [value], qs, {(r[group], value): (r.n, r.points) for r in heads}, group)
+    kind = df.schema[group].dataType.simpleString()
+    return df.sparkSession.createDataFrame([(g, float(q), x) for (g, _, q), x in found.items()], f"`{group}` {kind}, q double, valor double")
+
+
+def quantiles_of_counts(counts: DataFrame, group: str, qs: Sequence[float]) -> DataFrame:
+    """The same from how often each value occurs: (group, v, n), each pair once.
+
+    The pairs are put in order by range partitions, as many as the session has shuffle
     partitions. A running count over the partitions tells which of them hold a wanted rank, and only
-    those are ordered value by value. Whatever the values are, the work is the same three passes.
+    those are ordered value by value. No step depends on how many groups there are or how large they are.
     """
-    v = F.col(value).cast("double")
-    finite = F.abs(v) < float("inf")  # neither NaN nor NULL passes
-    counts = df.where(finite & F.col(group).isNotNull()).groupBy(group, v.alias("v")).agg(F.count("*").alias("n"))
     counts = materialise(counts, "quantile-counts")
     placed = materialise(counts.repartitionByRange(group, "v").withColumn("tramo", F.spark_partition_id()), "quantile-order")
 
