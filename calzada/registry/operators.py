@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from calzada.functions import dates, numbers, text
 from calzada.functions import traffic as tr
-from calzada.operators import cleaning, congestion, filters, geo, profile, sampling
+from calzada.operators import cleaning, congestion, filters, geo, profile, running, sampling
 from calzada.operators.quantiles import exact_quantiles
 from calzada.plans import analytics, dashboard, etl, forecast
 from calzada.registry.base import Entry
@@ -250,6 +250,16 @@ def _index(method: str):
     return run
 
 
+def _running(f: Fixture):
+    """Three batches, the third of one year only and added twice; the index as read afterwards."""
+    state, year = running.RunningIndex(f.spark, f.folder("corriente")), F.col("anio")
+    late = (year == 1995) & (F.col("hora") >= 12)
+    for name, part in (("a", ~late & (F.col("id") % 2 == 0)), ("b", ~late & (F.col("id") % 2 == 1)), ("c", late), ("c", late)):
+        state.add(f.trafico.where(part), name)
+    return state.index().join(state.p95(), "anio").select(
+        "anio", "ocupacion", "n", F.round("p95", 9).alias("p95"), F.round("indice_congestion", 9).alias("indice"))
+
+
 def _repaired(f: Fixture):
     broken = f.cleaned.withColumn("indice_congestion", F.lit(0.0))
     df = congestion.repair_index(broken)
@@ -374,6 +384,10 @@ ENTRIES = {
     "c14_yearly_p95_approximate": Entry(
         lambda f: congestion.yearly_p95(f.trafico, approximate=True),
         "SELECT anio, quantile_disc(ocupacion, 0.95) AS p95 FROM trafico GROUP BY anio"),
+    "c14_running_index": Entry(
+        _running,
+        """SELECT anio, ocupacion, COUNT(*) AS n, ROUND(ANY_VALUE(p95), 9) AS p95, ROUND(ANY_VALUE(indice_congestion), 9) AS indice
+           FROM indexado JOIN (SELECT anio, p95 AS p95 FROM p95) d USING (anio) GROUP BY anio, ocupacion"""),
     "c15_index_max_valid": Entry(
         _index("max_valid"),
         """SELECT anio, ocupacion, ROUND(CASE WHEN ocupacion IS NOT NULL THEN least(1.0, ocupacion / (SELECT COALESCE(MAX(ocupacion), 1)

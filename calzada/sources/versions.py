@@ -54,7 +54,7 @@ class VersionedTable:
             raise FileNotFoundError(f"nothing has been loaded into {self.path}")
         return f"{self.path}/{versions[-1].name}"
 
-    def read(self, schema: StructType | None = None) -> DataFrame:
+    def read(self, schema: StructType | str | None = None) -> DataFrame:
         """The rows of the current load. What has been opened stays as it is until it expires."""
         reader = self.spark.read if schema is None else self.spark.read.schema(schema)
         return reader.parquet(self.current())

@@ -9,7 +9,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from calzada.operators import brackets, profile, quantiles
+from calzada.operators import brackets, congestion, profile, quantiles, running
 
 QS = (0.0, 0.25, 0.95, 1.0)
 
@@ -80,3 +80,39 @@ def test_describe_in_two_scans(spark):
     assert profile.describe(df.limit(0)).where("count = 0 AND p50 IS NULL").count() == len(NAMES)
     assert profile.describe(df.select("texto")).count() == 0
     assert [tuple(r) for r in profile.column_types(df).collect()][-1] == (8, "texto", "string")
+
+
+def test_running_index_is_that_of_a_full_run(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(i, rng.choice([2019, 2020, 2021]), rng.choice([None, float("nan"), -2.0, 5.0, 5000.0, rng.random() * 90])) for i in range(3_000)]
+    rows += [(5_000 + i, 2030, None) for i in range(5)] + [(6_000, None, 3.0)]
+    df = spark.createDataFrame(rows, "id int, anio int, ocupacion double")
+    parts = [df.where("anio <= 2020 AND id % 2 = 0 OR anio = 2030"), df.where("anio <= 2020 AND id % 2 = 1"), df.where("anio >= 2021 AND anio < 2030 OR anio IS NULL")]
+    stored = []
+    state = running.RunningIndex(spark, str(tmp_path / "estado"))
+    for i, part in enumerate(parts):
+        part.write.parquet(str(tmp_path / f"lecturas/{i}"))
+        stored.append(spark.read.parquet(str(tmp_path / f"lecturas/{i}")))
+        touched = state.add(stored[-1], f"b{i}")
+    assert touched == [2021] and state.add(stored[0], "b0") == [2019, 2020, 2030]
+    for method in ("p95_year", "max_valid"):
+        want = {r.id: r.indice_congestion for r in congestion.congestion_index(df.withColumn("ocupacion", brackets.finite("ocupacion")), method).collect()}
+        clean = df.withColumn("ocupacion", brackets.finite("ocupacion"))
+        assert {r.id: r.indice_congestion for r in state.attach(clean, method).collect()} == pytest.approx(want)
+    # What the divisors are made from: counts, never a reading.
+    assert all("/lecturas/" not in f for df in (state.counts(), state.p95(), state.index()) for f in df.inputFiles())
+    with pytest.raises(ValueError):
+        state.attach(df, "max")
+
+
+def test_a_batch_scans_no_earlier_readings(spark, tmp_path, monkeypatch):
+    first, second = (spark.createDataFrame([(year, float(i)) for i in range(50)], "anio int, ocupacion double") for year in (2019, 2020))
+    state = running.RunningIndex(spark, str(tmp_path / "estado"))
+    first.write.parquet(str(tmp_path / "uno"))
+    state.add(spark.read.parquet(str(tmp_path / "uno")), "uno")
+    for f in (tmp_path / "uno").glob("*.parquet"):
+        f.write_bytes(b"")  # whoever reads it again fails
+    for f in (tmp_path / "estado/conteos/lote=uno").rglob("*.parquet"):
+        f.write_bytes(b"")  # nor are counts of years that the batch does not touch
+    assert state.add(second, "dos") == [2020]
+    assert {r.anio: r.p95 for r in state.p95().collect()} == pytest.approx({2019: 46.55, 2020: 46.55})
