@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from calzada.operators.cleaning import clean, clean_for_csv
 from calzada.operators.congestion import congestion_index
-from calzada.operators.sampling import random_sample
+from calzada.operators.sampling import exact_sample
 from calzada.sources.lines import REJECTED, read_rows
 from calzada.sources.readers import drop_empty_rows, select_by_position
 from calzada.sources.schemas import RAW_COLUMNS
@@ -23,8 +23,9 @@ def csv_job(raw: DataFrame, target: str) -> None:
 def traffic_table(raw: DataFrame, method: str = "p95_year", fraction: float | None = None, seed: int = 42,
                   null_text: str = "null") -> DataFrame:
     """Cleaned rows with derived columns and index. A sample, if asked for, is drawn before the index."""
-    # The sample is stored: the index looks at the rows twice and must find the same ones.
-    rows = raw if fraction is None else materialise(random_sample(raw, fraction, seed), "muestra")
+    # An exact share of each file, or of each folder where files are not known. It follows from the rows, but is costly to draw twice.
+    group = "archivo" if "archivo" in raw.columns else "anio_carpeta"
+    rows = raw if fraction is None else materialise(exact_sample(raw, fraction, seed, group), "muestra")
     return congestion_index(clean(rows, null_text=null_text), method)
 
 
@@ -43,7 +44,7 @@ def parquet_job(spark: SparkSession, source: str, yearly: str, unified: str | No
     """
     bad = F.col(REJECTED).isNotNull()
     raw = read_rows(spark.read, source, n_columns, widest).where(bad | ~F.forall(F.array(*RAW_COLUMNS), lambda c: c.isNull()))
-    rows = raw if fraction is None else random_sample(raw, fraction)
+    rows = raw if fraction is None else exact_sample(raw, fraction)
     staged = new_folder(spark, "sin_indice")
     try:
         write_parquet_by_year(clean(rows, keep=("anio_carpeta", REJECTED)), staged, "anio_carpeta", sort_by=None)

@@ -226,14 +226,14 @@ _LINE = "concat_ws(',', " + ", ".join(
 
 
 def _sampled(f: Fixture):
-    """Facts about a sample of a stored table: its share, that its rows are the table's, that a seed repeats them."""
-    stored = materialise(f.trafico.select("id"), "muestra")
-    draws = stored.withColumn("k", F.lit(0))
-    for k in (1, 2):
-        draws = draws.unionByName(sampling.random_sample(stored).withColumn("k", F.lit(k)))
-    rows = draws.groupBy("id").agg(*[F.count_if(F.col("k") == k).alias(f"n{k}") for k in range(3)])
-    return rows.agg((F.sum("n1") / F.sum("n0")).between(0.12, 0.18).alias("cuota_cumplida"),
-                    F.bool_and(F.col("n1") <= F.col("n0")).alias("filas_conocidas"), F.bool_and(F.col("n1") == F.col("n2")).alias("repetible"))
+    """The rows of an exact sample of each year's folder, drawn from the rows cut up in another way."""
+    return _counted(sampling.exact_sample(f.raw.repartition(5, "hora"), group="anio_carpeta"), "anio_carpeta", *RAW_COLUMNS)
+
+
+_DRAW = "('0x' || substr(md5(concat_ws(chr(31), '42', " + ", ".join(f"COALESCE({c}, '\\N')" for c in RAW_COLUMNS) + ")), 1, 15))::BIGINT"
+_SAMPLE_SQL = f"""SELECT anio_carpeta, {', '.join(RAW_COLUMNS)}, COUNT(*) AS n FROM (SELECT *, count(*) OVER (PARTITION BY anio_carpeta) AS filas,
+    row_number() OVER (PARTITION BY anio_carpeta ORDER BY sorteo) AS lugar FROM (SELECT *, {_DRAW} AS sorteo FROM trafico_raw) d) x
+    WHERE lugar <= round_even(0.15::DOUBLE * filas, 0) GROUP BY ALL"""
 
 
 def _folded_join(f: Fixture):
@@ -400,8 +400,7 @@ ENTRIES = {
         lambda f: _counted(cleaning.narrow_types(f.cleaned), "hora", "dia_num", "mes_num", "anio", "velocidad_kmh"),
         """SELECT CAST(hora AS TINYINT) AS hora, CAST(dia_num AS TINYINT) AS dia_num, CAST(mes_num AS TINYINT) AS mes_num,
            CAST(anio AS SMALLINT) AS anio, CAST(velocidad_kmh AS FLOAT) AS velocidad_kmh, COUNT(*) AS n FROM limpio GROUP BY ALL"""),
-    "c18_random_sample": Entry(
-        _sampled, "SELECT COUNT(*) > 0 AS cuota_cumplida, COUNT(*) > 0 AS filas_conocidas, COUNT(*) > 0 AS repetible FROM trafico"),
+    "c18_random_sample": Entry(_sampled, _SAMPLE_SQL),
     "c19_modulus_sample": Entry(
         lambda f: sampling.modulus_sample(f.trafico, 0.2).select("id", "fecha", "hora", "corredor", "velocidad_kmh"),
         "SELECT id, fecha, hora, corredor, velocidad_kmh FROM trafico WHERE id % 5 = 0"),
