@@ -12,7 +12,7 @@ from calzada.plans import analytics, dashboard, etl, forecast
 from calzada.registry.base import Entry
 from calzada.registry.fixture import Fixture
 from calzada.registry.oracle import month_no, num, period, position, rush, title, whole
-from calzada.sources import catalog, readers, writers
+from calzada.sources import catalog, export, readers, writers
 from calzada.sources.schemas import CRITICAL_ZONES, HEADERS, RAW_COLUMNS
 from calzada.sources.versions import VersionedTable
 from calzada.sources.workspace import materialise
@@ -90,10 +90,7 @@ def _by_header(f: Fixture):
         paths.append(_land(f, name, columns, {c: HEADERS[c][min(i, len(HEADERS[c]) - 1)] for c in columns}))
     files = [p for path in paths for p in f.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
              .select("path").toPandas()["path"]]
-    df = readers.read_by_header(f.spark, files)
-    return df.groupBy("anio_carpeta").agg(
-        F.count("*").alias("filas"), F.count("intensidad_veh_h").alias("intensidades"), F.count("ocupacion").alias("ocupaciones"),
-        F.count("categoria_1").alias("categorias"), F.max("corredor").alias("corredor_max"))
+    return _counted(readers.read_by_header(f.spark, files), "anio_carpeta", *RAW_COLUMNS)
 
 
 def _row_mode(f: Fixture):
@@ -157,10 +154,16 @@ def _summary_table(f: Fixture):
     return table.read(CRITICAL_ZONES)
 
 
+_EXPORTED = ("carril", "fecha_trafico", "fecha", "hora", "dia_semana", "dia_num", "mes_num", "mes", "anio", "velocidad_kmh", "corredor", "sentido",
+             "operacion", "intensidad_veh_h", "ocupacion", "comuna", "codigo_comuna", "periodo_dia", "es_hora_pico")
+
+
 def _export(f: Fixture):
-    columns = [c for c in f.trafico.columns if not c.startswith("categoria") and c != "id"]
-    sample = sampling.modulus_sample(f.trafico, 0.2)
-    return _by_year(writers.export_table(sample.select(*columns), f.folder("exportado")))
+    """A fifth of the table in ranges of its key, floats and small integers as narrow as they go; all columns of the copy."""
+    sample = sampling.modulus_sample(f.trafico, 0.2).select("id", *_EXPORTED)
+    copy = export.export_ranges(sample, f.folder("exportado"), "id", chunks=12, chunks_per_job=6)
+    wide = {c: F.col(c).cast("double") for c in ("velocidad_kmh", "intensidad_veh_h", "ocupacion", "codigo_comuna")}
+    return _counted(copy.withColumns(wide), "id", *_EXPORTED)
 
 
 def _batch_etl(f: Fixture):
@@ -272,12 +275,16 @@ def _sql_scan(f: Fixture):
 
 
 def _catalogue(f: Fixture):
-    paths = {"incidentes": f.folder("incidentes")}
-    writers.write_parquet(f.incidentes, paths["incidentes"])
-    tables = catalog.open_tables(f.spark, paths, {"trafico": lambda: f.trafico, "coordenadas": lambda: f.coordenadas})
+    """One table from its path, one from a loader since its path does not exist, one with narrow types and an index of zeros."""
+    paths = {n: f.folder(n) for n in ("incidentes", "trafico")} | {"coordenadas": f.folder("falta")}
+    writers.write_parquet(f.incidentes.withColumn("velocidad_promedio", F.col("velocidad_promedio").cast("float")), paths["incidentes"])
+    narrow = cleaning.narrow_types(f.trafico).withColumn("indice_congestion", F.lit(0).cast("float"))
+    writers.write_parquet(narrow, paths["trafico"])
+    tables = catalog.open_tables(f.spark, paths, {"coordenadas": lambda: f.coordenadas})
     catalog.register_views(tables, prefix="cat_")
-    return f.spark.sql("""SELECT 'trafico' AS tabla, COUNT(*) AS filas FROM cat_trafico UNION ALL SELECT 'incidentes', COUNT(*) FROM cat_incidentes
-                          UNION ALL SELECT 'coordenadas', COUNT(*) FROM cat_coordenadas""")
+    return f.spark.sql("""SELECT 'trafico' AS tabla, COUNT(*) AS filas, ROUND(SUM(indice_congestion), 6) AS medida, typeof(ANY_VALUE(hora)) AS tipo FROM cat_trafico
+                          UNION ALL SELECT 'incidentes', COUNT(*), SUM(velocidad_promedio), typeof(ANY_VALUE(velocidad_promedio)) FROM cat_incidentes
+                          UNION ALL SELECT 'coordenadas', COUNT(*), ROUND(SUM(latitud), 6), typeof(ANY_VALUE(latitud)) FROM cat_coordenadas""")
 
 
 def _located(df):
@@ -297,8 +304,8 @@ ENTRIES = {
             FROM leido) r GROUP BY anio_carpeta"""),
     "s3_header_read": Entry(
         _by_header,
-        """SELECT anio_carpeta, COUNT(*) * 2 AS filas, COUNT(intensidad_veh_h) AS intensidades, COUNT(ocupacion) * 2 AS ocupaciones,
-           COUNT(categoria_1) * 2 AS categorias, MAX(corredor) AS corredor_max FROM leido GROUP BY anio_carpeta"""),
+        f"""SELECT anio_carpeta, {_LANDED}, COUNT(*) AS n FROM (SELECT * FROM leido UNION ALL
+            SELECT * REPLACE (NULL::VARCHAR AS intensidad_veh_h) FROM leido) r GROUP BY ALL"""),
     "s4_row_mode_read": Entry(
         _row_mode,
         f"""SELECT anio_carpeta AS anio, {month_no('mes')} AS mes_num, COALESCE(trim(mes), '') AS mes, {whole('hora')} AS hora,
@@ -311,7 +318,10 @@ ENTRIES = {
                            "l_returnflag", "l_linestatus"),
         "SELECT l_returnflag, l_linestatus, COUNT(*) AS n FROM lineitem GROUP BY ALL"),
     "s7_sql_scan": Entry(_sql_scan, "SELECT * FROM incidentes WHERE gravedad = 'Leve'"),
-    "s8_table_export": Entry(_export, f"SELECT anio, {_BY_YEAR} FROM trafico WHERE id % 5 = 0 GROUP BY anio"),
+    "s8_table_export": Entry(
+        _export, "SELECT id, " + ", ".join({"hora": "hora::TINYINT AS hora", "dia_num": "dia_num::TINYINT AS dia_num", "mes_num": "mes_num::TINYINT AS mes_num",
+                                            "anio": "anio::SMALLINT AS anio"}.get(c, c) for c in _EXPORTED)
+        + ", COUNT(*) AS n FROM trafico WHERE id % 5 = 0 GROUP BY ALL"),
     "s9_csv_sink": Entry(_csv_sink, _CSV_SQL),
     "s10_parquet_by_year": Entry(_yearly_sink, f"SELECT anio, {_BY_YEAR} FROM trafico GROUP BY anio"),
     "s11_unified_parquet": Entry(_unified_sink, f"SELECT anio, {_BY_YEAR} FROM limpio GROUP BY anio"),
@@ -329,8 +339,10 @@ ENTRIES = {
            UNION ALL SELECT 'incidentes', anio, COUNT(*) FROM incidentes GROUP BY anio"""),
     "s18_catalog": Entry(
         _catalogue,
-        """SELECT 'trafico' AS tabla, COUNT(*) AS filas FROM trafico UNION ALL SELECT 'incidentes', COUNT(*) FROM incidentes
-           UNION ALL SELECT 'coordenadas', COUNT(*) FROM coordenadas"""),
+        """SELECT 'trafico' AS tabla, COUNT(*) AS filas, ROUND(SUM(CASE WHEN ocupacion IS NOT NULL THEN
+               greatest(0.0, least(1.0, ocupacion / (SELECT MAX(ocupacion) FROM trafico))) END), 6) AS medida, 'int' AS tipo FROM trafico
+           UNION ALL SELECT 'incidentes', COUNT(*), SUM(velocidad_promedio), 'double' FROM incidentes
+           UNION ALL SELECT 'coordenadas', COUNT(*), ROUND(SUM(latitud), 6), 'double' FROM coordenadas"""),
     "etl_traffic_table": Entry(
         lambda f: _by_year(f.spark.read.parquet(_built(f))), f"SELECT anio, {_BY_YEAR} FROM trafico GROUP BY anio"),
     "etl_batch_job": Entry(
@@ -485,6 +497,11 @@ ENTRIES = {
     "a15_union_of_years": Entry(
         lambda f: _by_year(etl.union_years(f.trafico.where(F.col("anio") <= 1997), f.trafico.where(F.col("anio") > 1997).drop("carril"))),
         f"SELECT anio, {_BY_YEAR} FROM trafico GROUP BY anio"),
+    "n1_column_types": Entry(
+        lambda f: profile.column_types(f.incidentes),
+        """SELECT CAST(orden AS INTEGER) AS orden, columna, tipo FROM (VALUES (1, 'id', 'bigint'), (2, 'id_incidente', 'string'),
+           (3, 'fecha_incidente', 'timestamp_ntz'), (4, 'ubicacion', 'string'), (5, 'tipo_evento', 'string'), (6, 'gravedad', 'string'),
+           (7, 'conteo_vehicular', 'int'), (8, 'velocidad_promedio', 'double'), (9, 'anio', 'int')) t(orden, columna, tipo)"""),
     "t2_t3_ordinals": Entry(
         lambda f: _counted(f.cleaned.select(
             "dia_semana", tr.field_order(F.col("dia_semana"), dates.WEEKDAYS).alias("dia_orden"),

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import csv
+import re
 from collections import defaultdict
 from collections.abc import Iterable, Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -96,28 +99,37 @@ def _by_position(names: Sequence[str]) -> T.StructType:
     return T.StructType(fields)
 
 
-def read_by_header(spark: SparkSession, files: Sequence[str], peek_threads: int = 16) -> DataFrame:
+def literal_path(path: str) -> str:
+    """A path whose brackets, braces and stars stand for themselves."""
+    return re.sub(r"([][{}*?\\])", r"\\\1", path)
+
+
+def header_layouts(spark: SparkSession, files: Sequence[str]) -> dict[tuple[str, ...], list[str]]:
+    """Header cells and the files that begin with them, from one distributed scan.
+
+    Of each file only its first block counts, which one task reads in order, and of that the first line: a line for each file
+    leaves the tasks, and files are put together by their line before anything reaches the driver. Empty files have none.
+    """
+    lines = spark.read.text([literal_path(f) for f in files]).where(F.col("_metadata.file_block_start") == 0)
+    lines = lines.select("value", F.col("_metadata.file_path").alias("archivo"), F.monotonically_increasing_id().alias("lugar"))
+    heads = lines.groupBy("archivo").agg(F.min_by("value", "lugar").alias("cabecera"))
+    layouts = heads.groupBy("cabecera").agg(F.sort_array(F.collect_list("archivo")).alias("archivos")).orderBy("cabecera").collect()
+    out: dict[tuple[str, ...], list[str]] = defaultdict(list)
+    for r in layouts:
+        out[tuple(next(csv.reader([r.cabecera]), ()))] += [unquote(a) for a in r.archivos]
+    return out
+
+
+def read_by_header(spark: SparkSession, files: Sequence[str]) -> DataFrame:
     """Files with differing headers as one frame.
 
-    Only the header line of each file is looked at up front; files that share a header are read as
-    one scan, so the plan grows with the number of distinct layouts and not with the files.
+    Files that share a header are read as one scan, so the plan grows with the number of distinct layouts and not with the files.
     """
-    def header_of(path: str) -> tuple[str, ...]:
-        first = spark.read.options(**QUOTING).csv(path).first()
-        return tuple(c or "" for c in first) if first else ()
-
-    layouts: dict[tuple[str, ...], list[str]] = defaultdict(list)
-    with ThreadPoolExecutor(peek_threads) as pool:
-        for path, names in zip(files, pool.map(header_of, files)):
-            layouts[names].append(path)
-    out = None
-    for names, paths in layouts.items():
-        part = with_folder_year(_csv(spark, _by_position(names), header=True).csv(paths))
-        part = rename_by_header(part)
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    if out is None:
+    parts = [rename_by_header(with_folder_year(_csv(spark, _by_position(names), header=True).csv([literal_path(p) for p in paths])))
+             for names, paths in (header_layouts(spark, files) if files else {}).items()]
+    if not parts:
         raise ValueError("no input files")
-    return out
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def select_by_position(df: DataFrame, folder_year_column: str = "anio_carpeta") -> DataFrame:

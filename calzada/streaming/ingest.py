@@ -6,7 +6,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 from dataclasses import replace
 
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 
 from calzada.operators.cleaning import clean, clean_for_csv
 from calzada.sources.lines import REJECTED, read_rows
-from calzada.sources.readers import INPUT_FILES, YEAR_FOLDER, drop_empty_rows, select_by_position
+from calzada.sources.readers import INPUT_FILES, YEAR_FOLDER, drop_empty_rows, literal_path, select_by_position
 from calzada.sources.schemas import RAW_COLUMNS
 from calzada.streaming.ledger import BEGUN, FAILED, LOADED, File, Ledger, place
 
@@ -73,7 +72,7 @@ def _load(spark: SparkSession, ledger: Ledger, target: str, files: list[File], n
     files = [replace(f, intento=f.intento + 1) for f in files]
     ledger.append(files, BEGUN)
     attempts = spark.createDataFrame([(f.ruta, f.archivo, f.intento) for f in files], "ruta string, archivo string, intento int")
-    rows = read_rows(spark.read, [re.sub(r"([][{}*?\\])", r"\\\1", f.archivo) for f in files], n_columns, header=header, files=pattern)
+    rows = read_rows(spark.read, [literal_path(f.archivo) for f in files], n_columns, header=header, files=pattern)
     # At most a batch of files: a line each.
     lots = attempts.select(F.col("ruta").alias("archivo"), place(F.col("archivo"), F.col("intento")).alias("lote"))
     try:

@@ -35,3 +35,10 @@ def test_checks_need_no_session():
     code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
     done = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, timeout=60)
     assert done.returncode == 0, done.stderr
+
+
+def test_core_queries_survive_without_a_library_of_the_optional_part():
+    code = "import sys; sys.modules['zstandard'] = None; import __spark_entry__ as e; print(sorted(e.queries())[0], len(e.queries()))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, timeout=60)
+    assert done.returncode == 0, done.stderr
+    assert int(done.stdout.split()[-1]) >= 124
