@@ -17,6 +17,8 @@ from calzada.sources.workspace import materialise, new_folder
 
 BLANKS = r"[\x20\x09-\x0D]+"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# Digests that may be sent to all tasks: 32 MB.
+SENT = 1_000_000
 KEYS = "doc_id bigint, digest binary, sha binary, points int, row bigint"
 
 
@@ -77,12 +79,18 @@ def update_state(spark: SparkSession, keys_path: str, state_path: str, files_per
 
 
 def unequal_digests(docs: DataFrame, state: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
-    """Digests under which a row's bytes differ from those of the row that stays (collisions)."""
-    shared = state.where("group_size > 1").select("digest", "keep_id")
+    """Digests that texts of different bytes share (collisions).
+
+    Whole texts are compared as grouping keys: equal ones become one in the task that reads them, so a text that a third of all rows have
+    moves once from each task, and no task holds its copies. Where the digests that were hit are few they choose the texts first.
+    """
     text = normalised()
-    hits = docs.select("doc_id", text.alias("bytes"), digest(text).cast("binary").alias("digest")).join(shared, "digest")
-    kept = (hits.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("bytes").alias("kept_bytes")))
-    return hits.join(kept, "digest").where("bytes <> kept_bytes").select("digest").distinct()
+    rows = docs.select(digest(text).cast("binary").alias("digest"), text.alias("bytes"))
+    shared = state.where("group_size > 1").select("digest")
+    # The digests are counted before they are broadcast; many of them would move every text once more to be chosen.
+    if shared.limit(SENT + 1).count() <= SENT:
+        rows = rows.join(F.broadcast(shared), "digest", "left_semi")
+    return rows.groupBy("digest", "bytes").agg(F.count("*").alias("n")).groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
 
 
 def _by_bytes(docs: DataFrame, digests: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
@@ -132,5 +140,5 @@ def drop_exact_copies(docs: DataFrame) -> DataFrame:
     kept = exact_groups(docs).where("kept").select(key(F.col("text_sha256")).alias("key"))
     rows = docs.select(F.struct("*").alias("doc"), F.char_length(body()).alias("points"),
                        key(F.sha2(normalised(), 256)).alias("key"))
-    # The second step reuses the join's partitioning; it matters only for rows that repeat an identifier.
-    return rows.join(kept, "key", "left_semi").groupBy("key").agg(F.max_by("doc", "points").alias("doc")).select("doc.*")
+    # Rows that repeat identifier and text become one in the task that reads them; the join finds the rest where the grouping has put it.
+    return rows.groupBy("key").agg(F.max_by("doc", "points").alias("doc")).join(kept, "key", "left_semi").select("doc.*")
