@@ -1,7 +1,7 @@
-"""Mixing sources to target weights by Sainte-Lague apportionment of equal-word blocks.
+"""Mixing sources to target weights by Sainte-Lague apportionment.
 
-The words to take are dealt out as blocks of equal size: to sources by the highest quotients
-target / (2 * blocks so far + 1), then in the same way to the shards of each source. Inside a shard the
+The words to take are dealt out as equal blocks, of one word each, so that small sources meet their targets as well: to sources by the
+highest quotients target / (2 * blocks so far + 1), then in the same way to the shards of each source. Inside a shard the
 documents stand in a seeded order, and a seeded run of blocks, wrapping around, meets the shard's quota.
 Everything after the word count works on a few numbers per document.
 """
@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from calzada.llm.sharding import numbered
 from calzada.sources.workspace import materialise
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -23,72 +24,78 @@ def seeded(seed: int, *parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
-def apportion(votes: DataFrame, group: list[str], item: str) -> DataFrame:
-    """``blocks`` for every row of (group..., item, vote, seats): each group's seats by highest quotients.
+def apportion(votes: DataFrame, group: str, item: str) -> DataFrame:
+    """``blocks`` for every row of (group, item, vote, seats, and cap if there is one): each group's seats by highest quotients.
 
     A row's share rounded by the divisor total / seats is off the answer by at most the number of rows times
     the row's share, plus one. Seats below that are certain; only quotients in between are ranked, which
-    makes a few rows per item however many seats there are. Ties go to the smaller item; NULL is last.
+    makes a few rows per item however many seats there are, in one sort by range over all groups. No item gets more than its
+    ``cap``, which is not below its share, so only rounding can pass it; that goes to the next quotients. Ties go to the smaller item; NULL is last.
     """
-    whole = Window.partitionBy(*group)
-    total, n = F.sum("vote").over(whole), F.count("*").over(whole)
-    share = F.coalesce(F.try_divide(F.col("vote"), total), F.lit(0.0))
+    cap = F.col("cap") if "cap" in votes.columns else F.lit(2**62)
+    votes = materialise(votes.withColumn("cap", cap.cast("long")), "mix-votes")
+    whole = votes.groupBy(F.col(group).alias("_g")).agg(F.sum("vote").alias("total"), F.count("*").alias("n"))
+    share = F.coalesce(F.try_divide(F.col("vote"), F.col("total")), F.lit(0.0))
     near = F.floor(share * F.col("seats") + 0.5)
-    reach = F.ceil(share * n) + 1
-    bounds = (
-        votes.select(*group, item, "vote", "seats", F.greatest(F.lit(0), near - reach).alias("sure"), (near + reach).alias("most"))
-        .withColumn("open", F.col("seats") - F.sum("sure").over(whole))
-    )
-    quotients = bounds.select(*group, item, "sure", "open", "vote", F.explode(F.sequence("sure", "most")).alias("seat"))
-    ranked = quotients.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy(
-        (F.col("vote") / (2 * F.col("seat") + 1)).desc(), F.col(item).asc_nulls_last(), "seat")))
-    return ranked.groupBy(*group, item).agg((F.max("sure") + F.count_if(F.col("place") <= F.col("open"))).alias("blocks"))
+    reach = F.ceil(share * F.col("n")) + 1
+    bounds = materialise(
+        votes.join(whole, F.col(group).eqNullSafe(F.col("_g")))
+        .select(group, item, "vote", "seats", "cap", F.least(F.greatest(F.lit(0), near - reach), "cap").alias("sure"), (near + reach).alias("most")), "mix-bounds")
+    open_ = bounds.groupBy(F.col(group).alias("_g")).agg((F.max("seats") - F.sum("sure")).alias("open"))
+    quotients = bounds.select(group, item, "sure", "vote", "cap", F.explode(F.sequence("sure", "most")).alias("seat"))
+    allowed = F.col("seat") < F.col("cap")
+    ranked = numbered(quotients.select(group, item, "sure", "seat", allowed.alias("allowed"), F.when(allowed, -F.col("vote") / (2 * F.col("seat") + 1)).alias("order")),
+                      group, ["order", item, "seat"], "place")
+    won = F.col("allowed") & (F.col("place") < F.col("open"))
+    return (ranked.join(open_, F.col(group).eqNullSafe(F.col("_g"))).groupBy(group, item)
+            .agg((F.max("sure") + F.count_if(won)).alias("blocks")))
 
 
 def source_targets(sources: DataFrame) -> DataFrame:
     """Adds ``target`` to (source, source_size, n_docs): weights 1, 2, 3 in turn over sources by code point.
 
-    A target stops at three times its source's size; the rest is shared again by weight. Ordered by
-    cap / weight, the sources that are capped come first, so one running sum finds the common level.
+    A target stops at three times its source's size; the rest is shared again by weight, in rounds that each sum up
+    the sources left, until none is above. Only sums come to the driver.
     """
-    order = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
-    by_cap = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    earlier = by_cap.rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
-    levels = (
-        sources.withColumn("weight", (order - 1) % 3 + 1).withColumn("cap", (MOST_REPEATS * F.col("source_size")).cast("double"))
-        .withColumn("place", F.row_number().over(by_cap))
-        .withColumn("level", (F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(earlier), F.lit(0.0)))
-                    / (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(earlier), F.lit(0))))
-    )
-    below = F.col("cap") > F.col("level") * F.col("weight")
-    level = F.min(F.when(below, F.struct("place", "level"))).over(everything)["level"]
-    return levels.withColumn("target", F.coalesce(F.least("cap", level * F.col("weight")), F.col("cap"))).select(
-        "source", "source_size", "n_docs", "target")
+    placed = numbered(sources.withColumn("all", F.lit(0)), "all", ["source"], "place")
+    sources = materialise(placed.select("source", "source_size", "n_docs", (F.col("place") % 3 + 1).alias("weight"),
+                                        (MOST_REPEATS * F.col("source_size")).cast("double").alias("cap")), "mix-sources")
+    level, known = None, -1
+    while True:
+        over = F.lit(False) if level is None else F.col("cap") <= F.lit(level) * F.col("weight")
+        now = sources.agg(F.sum("source_size").alias("words"), F.sum(F.when(over, F.col("cap"))).alias("used"), F.count_if(over).alias("n"),
+                          F.sum(F.when(~over, F.col("weight"))).alias("weights")).first()
+        if now.n == known or not now.weights:
+            break
+        level, known = (now.words - (now.used or 0.0)) / now.weights, now.n
+    return sources.withColumn("target", F.least("cap", F.lit(level) * F.col("weight"))).select("source", "source_size", "n_docs", "target")
 
 
 def mix(docs: DataFrame, seed: int = 7, block_words: int = 16, shard_docs: int = 2_000) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, taken (words, repeats counted).
 
-    NULL and blank texts have size 0 and nothing is taken from them; a NULL source is a source of its own, the
-    last. Rows that repeat a doc_id count each by itself. An empty table gives no rows. ``shard_docs`` bounds
-    what one task has to order; a hot source has more shards. Other columns are ignored.
+    Words are dealt one by one to sources and to their shards, so every source, of whatever size, gets its target but for a word or
+    so; ``block_words`` is where the run of words taken from a shard may begin. NULL and blank texts have size 0 and nothing
+    is taken from them; a NULL source is a source of its own, the last. Rows that repeat a doc_id count each by itself. An empty
+    table gives no rows. ``shard_docs`` bounds what one task has to order; a hot source has more shards. Other columns are ignored.
     """
-    spark_rows = docs.select("doc_id", "source", F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    sizes = materialise(spark_rows.withColumn("draw", seeded(seed, F.col("doc_id"))), "mix-sizes")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    spark_rows = docs.select("doc_id", "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), seeded(seed, F.col("doc_id"), F.md5(text)).alias("draw"))
+    sizes = materialise(spark_rows, "mix-sizes")
     sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     targets = materialise(source_targets(sources), "mix-targets")
-    votes = targets.select(F.lit(0).alias("all"), "source", F.col("target").alias("vote"),
-                           F.round(F.sum("target").over(Window.partitionBy()) / block_words).cast("long").alias("seats"))
-    quotas = apportion(votes, ["all"], "source").select(F.col("source").alias("s"), F.col("blocks").alias("seats"))
+    words = targets.agg(F.sum("source_size").alias("n")).first().n or 0
+    votes = targets.select(F.lit(0).alias("all"), "source", F.col("target").alias("vote"), F.lit(words).cast("long").alias("seats"),
+                           (MOST_REPEATS * F.col("source_size")).alias("cap"))
+    quotas = apportion(votes, "all", "source").select(F.col("source").alias("s"), F.col("blocks").alias("seats"))
     plan = materialise(
         targets.join(quotas, F.col("source").eqNullSafe(F.col("s")))
         .select("s", "source_size", "target", "seats", F.ceil(F.col("n_docs") / shard_docs).alias("shards")), "mix-plan")
 
     rows = sizes.join(plan, F.col("source").eqNullSafe(F.col("s"))).withColumn("shard", F.col("draw") % F.col("shards"))
     shards = rows.groupBy("s", "shard").agg(F.sum("size").alias("words"), F.max("seats").alias("seats"))
-    by_shard = apportion(shards.select("s", "shard", F.col("words").cast("double").alias("vote"), "seats"), ["s"], "shard")
-    quota = materialise(by_shard.select(F.col("s").alias("qs"), F.col("shard").alias("qshard"), "blocks"), "mix-quotas")
+    by_shard = apportion(shards.select("s", "shard", F.col("words").cast("double").alias("vote"), "seats", (MOST_REPEATS * F.col("words")).alias("cap")), "s", "shard")
+    quota = materialise(by_shard.select(F.col("s").alias("qs"), F.col("shard").alias("qshard"), F.col("blocks").alias("wanted")), "mix-quotas")
 
     place = Window.partitionBy("s", "shard").orderBy("draw", "doc_id", "size")
     placed = (
@@ -96,11 +103,10 @@ def mix(docs: DataFrame, seed: int = 7, block_words: int = 16, shard_docs: int =
         .withColumn("words", F.sum("size").over(Window.partitionBy("s", "shard")))
         .join(quota, F.col("s").eqNullSafe(F.col("qs")) & (F.col("shard") == F.col("qshard")))
     )
-    wanted = F.least(F.col("blocks") * block_words, MOST_REPEATS * F.col("words"))
-    full = F.coalesce(F.floor(F.try_divide(wanted, F.col("words"))), F.lit(0))
+    full = F.coalesce(F.floor(F.try_divide(F.col("wanted"), F.col("words"))), F.lit(0))
     start = F.col("end") - F.col("size")
     drawn = (
-        placed.withColumn("full", full).withColumn("rest", wanted - F.col("full") * F.col("words"))
+        placed.withColumn("full", full).withColumn("rest", F.col("wanted") - F.col("full") * F.col("words"))
         .withColumn("from", block_words * (seeded(seed, F.col("source"), F.col("shard"))
                                            % F.greatest(F.lit(1), F.floor(F.col("words") / block_words))))
         .withColumn("to", F.col("from") + F.col("rest"))

@@ -84,13 +84,13 @@ QUERIES = {
 
 
 def _apportion(rows: str, group: str, item: str) -> str:
-    """SQL for the seats of ``rows`` (group, item, vote, seats): highest quotients, as recursion-free ranking."""
+    """SQL for the seats of ``rows`` (group, item, vote, seats, cap): highest quotients, as recursion-free ranking."""
     return f"""
-        (SELECT {group}, {item}, max(sure) + count(*) FILTER (place <= seats - sure_all) AS blocks FROM (
-           SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY vote / (2 * seat + 1) DESC, {item} NULLS LAST, seat) AS place
+        (SELECT {group}, {item}, max(sure) + count(*) FILTER (seat < cap AND place <= seats - sure_all) AS blocks FROM (
+           SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY CASE WHEN seat < cap THEN vote / (2 * seat + 1) END DESC NULLS LAST, {item} NULLS LAST, seat) AS place
            FROM (SELECT *, unnest(range(sure, near + reach + 1)) AS seat
                  FROM (SELECT *, sum(sure) OVER (PARTITION BY {group}) AS sure_all
-                       FROM (SELECT *, greatest(0, near - reach) AS sure
+                       FROM (SELECT *, least(greatest(0, near - reach), cap) AS sure
                              FROM (SELECT *, floor(share * seats + 0.5)::BIGINT AS near, ceil(share * n)::BIGINT + 1 AS reach
                                    FROM (SELECT *, coalesce(vote / nullif(sum(vote) OVER (PARTITION BY {group}), 0), 0) AS share,
                                                 count(*) OVER (PARTITION BY {group}) AS n FROM {rows})))))) GROUP BY ALL)"""
@@ -109,7 +109,7 @@ ORACLES = {
              r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
     "op5_mixing": rf"""
-        WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, {_draw('doc_id')} AS draw FROM documents),
+        WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, {_draw('doc_id', "md5(coalesce(text, ''))")} AS draw FROM documents),
         c AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n_docs,
                      (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight, (3 * sum(size))::DOUBLE AS cap FROM d GROUP BY source),
         l AS (SELECT *, row_number() OVER o AS place,
@@ -117,14 +117,14 @@ ORACLES = {
               FROM c WINDOW o AS (ORDER BY cap / weight, source NULLS LAST),
                             e AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
         t AS (SELECT *, coalesce(least(cap, weight * (SELECT arg_min(level, place) FROM l WHERE cap > level * weight)), cap) AS target FROM l),
-        q AS (SELECT * FROM {_apportion("(SELECT 0 AS g, source, target AS vote, round(sum(target) OVER () / 16)::BIGINT AS seats FROM t)", "g", "source")}),
+        q AS (SELECT * FROM {_apportion("(SELECT 0 AS g, source, target AS vote, (sum(source_size) OVER ())::BIGINT AS seats, 3 * source_size AS cap FROM t)", "g", "source")}),
         r AS (SELECT d.*, source_size, target, blocks AS seats, draw % ceil(n_docs / 2000)::BIGINT AS shard
               FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source JOIN q ON d.source IS NOT DISTINCT FROM q.source),
-        s AS (SELECT * FROM {_apportion("(SELECT source, shard, sum(size)::DOUBLE AS vote, any_value(seats) AS seats FROM r GROUP BY source, shard)", "source", "shard")}),
+        s AS (SELECT * FROM {_apportion("(SELECT source, shard, sum(size)::DOUBLE AS vote, any_value(seats) AS seats, 3 * sum(size)::BIGINT AS cap FROM r GROUP BY source, shard)", "source", "shard")}),
         p AS (SELECT r.*, blocks, sum(size) OVER (PARTITION BY r.source, r.shard)::BIGINT AS words,
                      sum(size) OVER (PARTITION BY r.source, r.shard ORDER BY draw, doc_id, size ROWS UNBOUNDED PRECEDING)::BIGINT AS stop
               FROM r JOIN s ON r.source IS NOT DISTINCT FROM s.source AND r.shard = s.shard),
-        w AS (SELECT *, least(blocks * 16, 3 * words) AS wanted, 16 * ({_draw('source', 'shard')} % greatest(1, words // 16)) AS a FROM p),
+        w AS (SELECT *, blocks AS wanted, 16 * ({_draw('source', 'shard')} % greatest(1, words // 16)) AS a FROM p),
         z AS (SELECT *, coalesce(wanted // nullif(words, 0), 0) AS whole FROM w),
         y AS (SELECT *, a + wanted - whole * words AS b FROM z)
         SELECT doc_id, size, source_size, target, (whole * size + greatest(0, least(stop, b) - greatest(stop - size, a))

@@ -103,6 +103,31 @@ def test_mix_meets_its_targets(spark):
         assert all(abs(taken[s] - t) <= max(200, 0.02 * t) for s, t in targets.items()), (taken, targets)
 
 
+def test_small_sources_meet_their_targets(spark):
+    rng = random.Random(4)
+    for kinds in ([1], [3], [10], [50], [0, 1, 2, 7, 15, 16, 17, 400]):
+        rows = [(i, " ".join("w" * rng.choice(kinds)), f"s{i % 150}") for i in range(300)]
+        sizes, targets = expected_targets(rows)
+        taken = dict.fromkeys(sizes, 0)
+        for r in mixed(spark, rows):
+            assert 0 <= r["taken"] <= 3 * r["size"]
+            taken[r["source"]] += r["taken"]
+        assert sum(taken.values()) == sum(sizes.values())
+        assert all(abs(taken[s] - t) <= 2 for s, t in targets.items())
+
+
+def test_many_rows_without_identifier_fall_to_many_shards(spark):
+    got = mixed(spark, [(None, f"word {i} " * (i % 5), "s") for i in range(400)], shard_docs=20)
+    assert sum(r["taken"] for r in got) == sum(r["size"] for r in got)
+
+
+def test_capped_items_hand_their_seats_on(spark):
+    votes = [(0, i, v, 20, c) for i, (v, c) in enumerate([(10.0, 4), (10.0, 100), (0.0, 0), (1.0, 100)])]
+    got = mixing.apportion(spark.createDataFrame(votes, "g int, i int, vote double, seats bigint, cap bigint"), "g", "i").collect()
+    won = {r.i: r.blocks for r in got}
+    assert won[0] == 4 and won[2] == 0 and set(won) == {0, 1, 2, 3}
+
+
 def test_mix_of_odd_rows(spark):
     rows = [(1, None, "a"), (2, "", "a"), (3, " \t", None), (None, "x y", "b"), (5, "z", ""), (5, "z", ""), (6, "w " * 30_000, "c")]
     got = mixed(spark, rows)
@@ -118,7 +143,7 @@ def test_seats_are_those_of_the_highest_quotients(spark):
     for _ in range(3):
         votes = [(g, i, float(rng.choice([0, 1, 5, 50, 1_000, rng.random() * 100]))) for g in (1, 2) for i in range(rng.randint(1, 12))]
         seats = {1: rng.randint(0, 300), 2: 7}
-        got = mixing.apportion(spark.createDataFrame([(g, i, v, seats[g]) for g, i, v in votes], "g int, i int, vote double, seats bigint"), ["g"], "i").collect()
+        got = mixing.apportion(spark.createDataFrame([(g, i, v, seats[g]) for g, i, v in votes], "g int, i int, vote double, seats bigint"), "g", "i").collect()
         for g in (1, 2):
             own = {i: v for h, i, v in votes if h == g}
             if not sum(own.values()):
