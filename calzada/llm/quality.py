@@ -1,13 +1,14 @@
 """Quality scores from supervised subword embeddings.
 
-A document is the average of the learned vectors of its words, of the character n-grams inside them (both hashed
-into a table of fixed size) and of one vector for every word that repeats the word before it; a softmax layer turns it into a label. Vectors and layer are trained together by
+A document is the average of the learned vectors of its words and of the character n-grams inside them (both hashed
+into a table of fixed size); a softmax layer turns it into a label. Vectors and layer are trained together by
 stochastic gradient descent in numpy. Because the layer is linear, a trained model is stored as one
 number per bucket (its vector times the layer), and a document's score is the average of those.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from zlib import crc32
@@ -19,36 +20,78 @@ from pyspark.sql import functions as F
 
 from calzada.llm.bpe import KEPT_TOKENS, SLICE_CHARS, slices
 from calzada.llm.language import held_out
+from calzada.sources.workspace import materialise
 
 BUCKETS, GRAMS = 1 << 16, (3, 4, 5)
 DIM, EPOCHS, RATE = 8, 6, 0.5
-# Labelled documents that are looked at, at most.
-SAMPLES = 2_048
+# Labelled documents that are looked at, at most, and (bucket, share) pairs of all of them together, in the order of a draw.
+SAMPLES, PAIRS = 2_048, 16_000_000
+# Characters to a step of hashing; words longer than LONG are not kept.
+PLACES, LONG = 1 << 16, 64
+BLANK = re.compile(r"\s")
 
 
-def buckets(word: str) -> list[int]:
-    """The word's own bucket and those of its character n-grams, with marks at both ends."""
-    marked = f"<{word}>"
-    return [crc32(marked.encode()) % BUCKETS] + [crc32(marked[i:i + n].encode()) % BUCKETS for n in GRAMS for i in range(len(marked) - n + 1)]
+def words_of(text: str | None, most: int = SLICE_CHARS) -> Iterator[list[str]]:
+    """The words of a text, in lists of about ``most`` characters that are cut between words."""
+    text, at = text or "", 0
+    while at < len(text):
+        blank = BLANK.search(text, at + most)
+        end = blank.start() if blank else len(text)
+        yield text[at:end].split()
+        at = end
 
 
-SAME = crc32(b"<same>") % BUCKETS
+def own_buckets(words: list[str]) -> np.ndarray:
+    """The bucket of each word as a whole."""
+    return np.fromiter((crc32(w.encode()) % BUCKETS for w in words), np.int64, len(words))
 
 
-def words_of(text: str | None) -> list[str]:
-    return (text or "").split()
+def groups(words: list[str]) -> Iterator[tuple[int, list[str]]]:
+    """(number of the first word, words) of about PLACES characters; a longer word is a group by itself."""
+    first, held = 0, 0
+    for k, word in enumerate(words):
+        if held and held + len(word) > PLACES:
+            yield first, words[first:k]
+            first, held = k, 0
+        held += len(word) + 2
+    if held:
+        yield first, words[first:]
+
+
+def grams(words: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first word, number of words, word of each n-gram counted from there, its bucket), at most PLACES n-grams at a time.
+
+    Words get marks at both ends. The characters are hashed as numbers, all places at once.
+    """
+    reach = max(GRAMS) - 1
+    for first, group in groups(words):
+        marked = "".join([f"<{w}>" for w in group])
+        ends = np.cumsum(np.fromiter(map(len, group), np.int64, len(group)) + 2)
+        for at in range(0, len(marked), PLACES):
+            codes = np.frombuffer((marked[at:at + PLACES + reach] + "\0" * reach).encode("utf-32-le"), "<u4").astype(np.uint64)
+            places = np.arange(at, min(at + PLACES, len(marked)))
+            word = np.searchsorted(ends, places, side="right")
+            room = ends[word] - places
+            for n in GRAMS:
+                h = np.full(len(places), n, np.uint64)
+                for i in range(n):
+                    h = (h ^ codes[i:i + len(places)]) * np.uint64(0x9E3779B97F4A7C15)
+                    h ^= h >> np.uint64(29)
+                whole = room >= n
+                yield first, len(group), word[whole], (h[whole] % np.uint64(BUCKETS)).astype(np.int64)
 
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of a text and their shares, which add up to one; nothing for a text without words."""
-    found = words_of(text)
-    counts = Counter(found)
-    total = np.zeros(BUCKETS, np.float32)
-    for word, n in counts.items():
-        np.add.at(total, buckets(word), n)
-    total[SAME] += sum(a == b for a, b in zip(found, found[1:]))
+    total = np.zeros(BUCKETS)
+    for found in words_of(text):
+        counts = Counter(found)
+        words, times = list(counts), np.fromiter(counts.values(), np.float64, len(counts))
+        np.add.at(total, own_buckets(words), times)
+        for first, _, word, bucket in grams(words):
+            total += np.bincount(bucket, times[first + word], BUCKETS)
     ids = np.flatnonzero(total)
-    return ids.astype(np.int32), total[ids] / max(1.0, total.sum())
+    return ids.astype(np.int32), (total[ids] / max(1.0, total.sum())).astype(np.float32)
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 1) -> tuple[np.ndarray, float]:
@@ -77,10 +120,11 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 1) -> tupl
     return (vectors @ change).astype(np.float64), float(bias[1] - bias[0])
 
 
-def learn(docs: DataFrame, labels: DataFrame, samples: int = SAMPLES) -> tuple[np.ndarray, float]:
+def learn(docs: DataFrame, labels: DataFrame, samples: int = SAMPLES, pairs: int = PAIRS) -> tuple[np.ndarray, float]:
     """A model from a bounded sample of labelled documents outside fold 0 of 5, the same on every run.
 
-    Of several labels of one document the largest counts. Texts become (bucket, share) lists on the executors.
+    Of several labels of one document the largest counts. Texts become (bucket, share) lists on the executors; of the
+    ``samples`` documents, those first drawn come to the driver, as long as they hold at most ``pairs`` of them together.
     """
     marks = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").where(~held_out(5, 0)).groupBy("doc_id").agg(F.max("quality").alias("label"))
     chosen = marks.orderBy(F.xxhash64("doc_id", F.lit("quality")), "doc_id").limit(samples)
@@ -94,15 +138,20 @@ def learn(docs: DataFrame, labels: DataFrame, samples: int = SAMPLES) -> tuple[n
     text = F.col("text").cast("string")
     own = docs.select("doc_id", text.alias("text")).where("text IS NOT NULL").join(chosen, "doc_id")
     own = own.groupBy("doc_id", "label").agg(F.max_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
-    rows = own.select("doc_id", "label", to_features("text").alias("f"))
-    table = rows.select("doc_id", "label", "f.ids", "f.shares").toArrow().sort_by("doc_id")
+    rows = own.select("doc_id", "label", to_features("text").alias("f")).select("doc_id", "label", "f.ids", "f.shares")
+    rows = materialise(rows.withColumn("n", F.size("ids")), "quality-sample")
+    sizes = rows.select("doc_id", "n").orderBy(F.xxhash64("doc_id", F.lit("quality")), "doc_id").collect()
+    ends = np.cumsum([r.n for r in sizes])
+    if len(ends) and ends[-1] > pairs:
+        rows = rows.where(F.col("doc_id").isin([r.doc_id for r, end in zip(sizes, ends) if end <= pairs]))
+    table = rows.toArrow().sort_by("doc_id")
     made = [(ids.values.to_numpy(), shares.values.to_numpy(), int(label == 1)) for ids, shares, label in
             zip(table["ids"], table["shares"], table["label"].to_pylist()) if len(ids)]
     return train(made)
 
 
 class Scorer:
-    """Scores texts; each distinct word's sum over its buckets is worked out once and kept up to a bound."""
+    """Scores texts; the sum of a word of up to LONG characters over its buckets is kept, up to a number of words."""
 
     def __init__(self, weights: np.ndarray, bias: float):
         self.weights, self.bias = weights, bias
@@ -112,30 +161,41 @@ class Scorer:
         self.codes: dict[str, int] = {}
         self.sums, self.sizes = np.zeros(0), np.zeros(0)
 
-    def score(self, texts: list[str | None]) -> np.ndarray:
-        if len(self.codes) > KEPT_TOKENS // 2:
+    def _learn(self, words: list[str]) -> None:
+        """Sums and numbers of buckets of words that are not known yet."""
+        sums, sizes = self.weights[own_buckets(words)], np.ones(len(words))
+        for first, n, word, bucket in grams(words):
+            sums[first:first + n] += np.bincount(word, self.weights[bucket], n)
+            sizes[first:first + n] += np.bincount(word, minlength=n)
+        self.codes.update(zip(words, range(len(self.sums), len(self.sums) + len(words))))
+        self.sums, self.sizes = np.concatenate((self.sums, sums)), np.concatenate((self.sizes, sizes))
+
+    def _add(self, lists: list[tuple[int, list[str]]], total: np.ndarray, size: np.ndarray) -> None:
+        if len(self.sums) > KEPT_TOKENS // 2:
             self._forget()
-        words: list[str] = []
-        counts = []
-        for text in texts:
-            found = words_of(text)
-            words += found
-            counts.append(len(found))
-        new = [w for w in dict.fromkeys(words) if w not in self.codes]
-        self.codes.update(zip(new, range(len(self.codes), len(self.codes) + len(new))))
-        lists = [buckets(w) for w in new]
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        if len(lists):
-            flat = self.weights[np.fromiter((b for x in lists for b in x), np.int64, int(sizes.sum()))]
-            self.sums = np.concatenate((self.sums, np.add.reduceat(flat, np.cumsum(sizes) - sizes)))
-            self.sizes = np.concatenate((self.sizes, sizes))
-        at = np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
-        ends = np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
-        same = np.concatenate(([0.0], (at[1:] == at[:-1]).astype(float))) if len(at) else np.zeros(0)
-        first = ends[:-1][np.diff(ends) > 0]
-        same[first] = 0
-        parts = (self.sums[at] + same * self.weights[SAME], self.sizes[at] + same)
-        total, size = (np.diff(np.concatenate(([0.0], np.cumsum(x)))[ends]) for x in parts)
+        new = list(dict.fromkeys(w for _, words in lists for w in words if w not in self.codes))
+        if new:
+            self._learn(new)
+        for i, words in lists:
+            at = np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
+            total[i] += self.sums[at].sum()
+            size[i] += self.sizes[at].sum()
+        for word in new:
+            if len(word) > LONG:
+                del self.codes[word]
+
+    def score(self, texts: list[str | None]) -> np.ndarray:
+        total, size = np.zeros(len(texts)), np.zeros(len(texts))
+        lists, held = [], 0
+        for i, text in enumerate(texts):
+            # A text's sum is made of its own lists, so it does not depend on the texts beside it.
+            for words in words_of(text):
+                lists.append((i, words))
+                held += len(words)
+                if held > KEPT_TOKENS // 2:
+                    self._add(lists, total, size)
+                    lists, held = [], 0
+        self._add(lists, total, size)
         return 1 / (1 + np.exp(-(total / np.maximum(size, 1) + self.bias)))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import subprocess
+import sys
 import zlib
 
 import pytest
@@ -65,12 +67,58 @@ def test_quality_of_odd_rows(spark):
     assert quality.scores(odd(spark).limit(0), labels).count() == 0
 
 
-def test_scores_add_up_word_by_word():
-    weights, texts = quality.np.random.default_rng(0).normal(size=quality.BUCKETS), ["a b b  c", "", "b", None, "b b b"]
-    got = quality.Scorer(weights, 0.25).score(texts)
-    for text, score in zip(texts, got):
-        ids, shares = quality.features(text)
-        assert abs(score - 1 / (1 + quality.np.exp(-(weights[ids] @ shares + 0.25)))) < 1e-6
+def plain_buckets(text):
+    """Buckets of a text by plain loops over its characters."""
+    found = []
+    for word in (text or "").split():
+        found.append(zlib.crc32(word.encode()) % quality.BUCKETS)
+        marked = f"<{word}>"
+        for n in quality.GRAMS:
+            for at in range(len(marked) - n + 1):
+                h = n
+                for c in marked[at:at + n]:
+                    h = ((h ^ ord(c)) * 0x9E3779B97F4A7C15) % 2**64
+                    h ^= h >> 29
+                found.append(h % quality.BUCKETS)
+    return found
+
+
+def test_scores_are_those_of_plain_loops(monkeypatch):
+    weights = quality.np.random.default_rng(0).normal(size=quality.BUCKETS)
+    texts = ["a b b  c", "", "b", None, " \n", "b b b", "längere Wörter und 日本語の文字列 " * 3, "x" * 500 + " yz", "no blank" * 90]
+    for places, most in ((1 << 16, 1_000_000), (7, 20), (64, 3)):
+        monkeypatch.setattr(quality, "PLACES", places)
+        monkeypatch.setattr(quality, "words_of", lambda t, most=most, own=quality.words_of: own(t, most)) if most < 100 else None
+        scorer = quality.Scorer(weights, 0.25)
+        for _ in range(2):
+            for text, score in zip(texts, scorer.score(texts)):
+                own = plain_buckets(text)
+                raw = sum(weights[b] for b in own) / max(1, len(own)) + 0.25
+                assert abs(score - 1 / (1 + quality.np.exp(-raw))) < 1e-9
+                ids, shares = quality.features(text)
+                assert sorted(ids) == sorted(set(own)) and all(abs(s - own.count(i) / len(own)) < 1e-6 for i, s in zip(ids, shares))
+        monkeypatch.undo()
+
+
+def test_a_score_does_not_depend_on_the_texts_beside_it():
+    weights = quality.np.random.default_rng(1).normal(size=quality.BUCKETS)
+    texts = [f"word{i} and more{i % 7} words " * (1 + i % 5) for i in range(200)]
+    alone = [quality.Scorer(weights, 0.0).score([t])[0] for t in texts]
+    assert list(quality.Scorer(weights, 0.0).score(texts[::-1]))[::-1] == alone
+
+
+def test_memory_of_an_unspaced_text():
+    code = """
+import resource
+from calzada.llm import quality
+text = "".join(chr(0x4E00 + i * i % 5000) for i in range(7_000_000))
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+quality.Scorer(quality.np.ones(quality.BUCKETS), 0.0).score([text, "x" * 20_000_000])
+quality.features(text)
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    more = int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout)
+    assert more < 500
 
 
 def test_every_stage_does_its_work(spark, tmp_path):
