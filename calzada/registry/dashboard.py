@@ -44,8 +44,11 @@ _LABELS = """SELECT CAST(t AS INTEGER) AS t, last_day(CAST(make_date(anio_base,
 ENTRIES = {
     "d1_kpis": Entry(
         lambda f: d.kpis(f.indexed),
-        """SELECT COUNT(*) AS total_reg, ROUND(AVG(velocidad_kmh), 1) AS vel_media, ROUND(AVG(intensidad_veh_h), 0) AS int_media,
-           ROUND(ROUND(AVG(indice_congestion) * 100, 9), 1) AS cong_media FROM indexado"""),
+        # Figures of the whole from the sums of its years.
+        """WITH anual AS (SELECT anio, COUNT(*) AS filas, SUM(velocidad_kmh) AS v, COUNT(velocidad_kmh) AS nv, SUM(intensidad_veh_h) AS i,
+                                 COUNT(intensidad_veh_h) AS ni, SUM(indice_congestion) AS c, COUNT(indice_congestion) AS nc FROM indexado GROUP BY anio)
+           SELECT CAST(SUM(filas) AS BIGINT) AS total_reg, ROUND(SUM(v) / SUM(nv), 1) AS vel_media, ROUND(SUM(i) / SUM(ni), 0) AS int_media,
+                  ROUND(ROUND(100 * SUM(c) / SUM(nc), 9), 1) AS cong_media FROM anual"""),
     "d1_kpis_unrounded": Entry(
         lambda f: d.kpis(f.indexed, rounded=False),
         """SELECT COUNT(*) AS total_reg, AVG(velocidad_kmh) AS vel_media, AVG(intensidad_veh_h) AS int_media,
@@ -60,9 +63,12 @@ ENTRIES = {
            SELECT hora, velocidad, intensidad, intensidad / (SELECT MAX(intensidad) FROM h) * 60 AS intensidad_norm FROM h"""),
     "d4_congestion_by_corridor": Entry(
         lambda f: d.congestion_by_corridor(f.indexed),
-        f"""SELECT corredor, COUNT(velocidad_kmh) AS total, CAST(SUM(CASE WHEN velocidad_kmh < 20 THEN 1 ELSE 0 END) AS BIGINT) AS congested,
-           AVG(velocidad_kmh) AS vel_prom, round_even(ROUND(AVG(indice_congestion) * 100, 9), 1) AS idx_cong FROM indexado WHERE {_NAMED}
-           GROUP BY corredor HAVING total > 100 ORDER BY idx_cong DESC, corredor LIMIT 15"""),
+        f"""WITH nombrados AS (SELECT * FROM indexado WHERE {_NAMED}),
+           lentos AS (SELECT corredor, COUNT(*) AS congested FROM nombrados WHERE velocidad_kmh < 20 GROUP BY corredor),
+           medidos AS (SELECT corredor, COUNT(velocidad_kmh) AS total, AVG(velocidad_kmh) AS vel_prom,
+                              round_even(ROUND(AVG(indice_congestion) * 100, 9), 1) AS idx_cong FROM nombrados GROUP BY corredor),
+           puestos AS (SELECT *, row_number() OVER (ORDER BY idx_cong DESC, corredor) AS puesto FROM medidos WHERE total > 100)
+           SELECT corredor, total, COALESCE(congested, 0) AS congested, vel_prom, idx_cong FROM puestos LEFT JOIN lentos USING (corredor) WHERE puesto <= 15"""),
     "d5_hour_by_weekday": Entry(
         lambda f: d.hour_by_weekday(f.trafico),
         f"""SELECT hora, dia_semana, {position('dia_semana', WEEKDAYS)} AS dia_orden, AVG(intensidad_veh_h) AS intensidad

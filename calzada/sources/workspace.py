@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,13 +36,32 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def materialise(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
-    """The frame as a written table: lineage ends here and Catalyst plans with its real size."""
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path, compression=codec)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+# Spark deletes the shuffle files of a query when it ends, not when the driver happens to collect garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def short_lived_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Queries that end inside leave no shuffle files behind; what they wrote stands for them."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished jobs now; it does so when the driver collects garbage."""
-    spark._jvm.System.gc()
+def stored(df: DataFrame, name: str, codec: str | None = None) -> tuple[DataFrame, str]:
+    """The frame as a written table, and its folder for ``drop_folder`` once nothing reads it any more."""
+    spark, path = df.sparkSession, new_folder(df.sparkSession, name)
+    with short_lived_shuffles(spark):
+        df.write.parquet(path, compression=codec)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialise(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
+    """The frame as a written table: lineage ends here and Catalyst plans with its real size."""
+    return stored(df, name, codec)[0]

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import csv
 import gzip
+import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -242,3 +244,26 @@ def test_workspace_uses_the_shared_folder():
     assert new_folder(Session(None, "local[2]"), "x").count("x-") == 1
     with pytest.raises(RuntimeError):
         new_folder(Session(None, "yarn"), "x")
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    import glob
+
+    from calzada.sources import workspace
+
+    def held():
+        return {f for d in dirs for f in glob.glob(f"{d}/**/shuffle_*", recursive=True)}
+
+    dirs = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    before, setting = held(), spark.conf.get(workspace.CLEANUP)
+    rows = spark.range(10_000).repartition(5, "id")
+    written, path = workspace.stored(rows, "t")
+    assert written.count() == 10_000 and rows.count() == 10_000
+    assert spark.conf.get(workspace.CLEANUP) == setting
+    more = held() - before
+    assert more  # a count leaves its shuffle behind
+    workspace.materialise(spark.range(10_000).repartition(7, "id"), "t")
+    time.sleep(2)
+    assert not held() - before - more
+    workspace.drop_folder(spark, path)
+    assert not os.path.exists(path)
