@@ -21,6 +21,8 @@ from calzada.sources.workspace import materialise
 
 LEAF, FAN = 512, 16
 EXACT = 2 ** 53
+# Squared length of whole vectors up to which every product fits in 64 bits.
+LARGEST = 2.0 ** 62
 
 
 class Node:
@@ -142,13 +144,17 @@ def top_products(vectors: DataFrame, query_every: int = 20, k: int = 20, scale:
 
     Unusable vectors (NULL, or with a NULL or non-finite component) and NULL ids take no part; vectors of different
     length are not compared. A repeated row is a candidate for each time it occurs, but no row with the query's own id is.
-    An empty table gives no rows. Other columns are ignored. The stated queries meet the chunks in blocks.
+    An empty table gives no rows. Other columns are ignored. The stated queries meet the chunks in blocks. Vectors whose
+    products may pass 64 bits end the call with an OverflowError, whether or not they would be among the best.
     """
     # The number, once written, deals rows into chunks; a repeated id does not fall into one chunk whole.
     rows = materialise(vectors.where(usable()).where("vec_id IS NOT NULL").select(
-        F.col("vec_id").cast("long"), whole_vector(scale).alias("v"), F.size("embedding").alias("dim"), F.monotonically_increasing_id().alias("row")), "topk-vectors")
+        F.col("vec_id").cast("long"), whole_vector(scale).alias("v"), F.size("embedding").alias("dim"), F.monotonically_increasing_id().alias("row"),
+        F.aggregate("embedding", F.lit(0.0), lambda a, x: a + F.pow(F.floor(scale * x.cast("double")).cast("double"), 2.0)).alias("norm")), "topk-vectors")
     draw = F.xxhash64("row", F.lit("chunk"))
-    counts = rows.agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % query_every == 0).alias("q")).first()
+    counts = rows.agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % query_every == 0).alias("q"), F.max("norm").alias("norm")).first()
+    if (counts.norm or 0.0) >= LARGEST * (1 - 1e-9):
+        raise OverflowError("products of these vectors do not fit in 64 bits")
     chunks, blocks = max(1, -(-counts.n // chunk)), max(1, -(-counts.q // block))
     every = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
     left = rows.select("dim", F.pmod(draw, F.lit(chunks)).cast("int").alias("c"), F.explode(every(blocks)).alias("b"), "vec_id", "v")

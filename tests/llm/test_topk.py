@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import pytest
+
 import numpy as np
 
 from calzada.llm import topk
@@ -64,3 +66,12 @@ def test_own_rows_in_a_leaf():
     ids = np.where(np.arange(300) < 200, np.arange(300), 500)
     tree = topk.MTree(ids, vectors)
     assert [id for _, id in tree.search(vectors[299], 500, 20)] == list(range(199, 179, -1))
+
+
+def test_products_beyond_64_bits_end_with_an_error(spark):
+    rows = [(0, [1e20, 1.0]), (1, [1.0, 1.0]), (2, [2.0, 1.0])]
+    for big in (1e20, 1e17, -1e300):
+        with pytest.raises(OverflowError):
+            topk.top_products(spark.createDataFrame([(0, [big, 1.0]), *rows[1:]], "vec_id bigint, embedding array<double>"))
+    fine = topk.top_products(spark.createDataFrame([(0, [1e6, 1.0]), *rows[1:]], "vec_id bigint, embedding array<double>")).collect()
+    assert [(r.vec_id, r.score) for r in fine] == [(2, 64_000_000 * 128 + 4096), (1, 64_000_000 * 64 + 4096)]
