@@ -15,10 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from calzada.llm.bpe import slices
+from calzada.sources.workspace import materialise
 
 UNKNOWN = "und"
 # A dictionary is made of up to SAMPLES excerpts of EXCERPT characters, one document each.
 SAMPLES, EXCERPT = 256, 1_000
+# Languages learned at most, those of the most rows: dictionaries, and the time a text takes, grow with their number.
+LANGUAGES = 200
 # Pieces are compressed on their own, so that a long text does not become its own dictionary.
 PIECE = 4_096
 LEVEL = 3
@@ -27,29 +30,34 @@ RESULT = "lang string, score double, rejected boolean"
 LETTER = regex.compile(r"\p{L}")
 
 
-def learn(docs: DataFrame, samples: int = SAMPLES, excerpt: int = EXCERPT) -> dict[str, bytes]:
+def learn(docs: DataFrame, samples: int = SAMPLES, excerpt: int = EXCERPT, languages: int = LANGUAGES) -> dict[str, bytes]:
     """Raw-content dictionaries from (doc_id, text, lang): a bounded sample of labelled rows, the same on every run.
 
     Rows are dealt into ``samples`` cells by a hash, of each language and cell the lowest hash is taken. Only
-    identifiers are aggregated (map-side); the texts chosen are fetched afterwards. Frequent languages come first.
+    identifiers are aggregated (map-side); the excerpts chosen are fetched afterwards. Frequent languages come first;
+    beyond the first ``languages`` ones none is learned, so at most languages * samples * excerpt characters reach the driver.
     """
     found: dict[str, dict] = {}
     counts: dict[str, dict] = {}
-    for r in excerpts(docs, samples, excerpt).collect():
+    for r in excerpts(docs, samples, excerpt, languages).collect():
         found.setdefault(r.lang, {})[r.doc_id] = r.piece
         counts.setdefault(r.lang, {})[r.doc_id] = r.n
     order = sorted(found, key=lambda lang: (-sum(counts[lang].values()), lang))
     return {lang: "\n".join(found[lang][k] for k in sorted(found[lang])).encode() for lang in order}
 
 
-def excerpts(docs: DataFrame, samples: int, excerpt: int) -> DataFrame:
+def excerpts(docs: DataFrame, samples: int, excerpt: int, languages: int = LANGUAGES) -> DataFrame:
     """(lang, doc_id, n, piece), one row for each chosen document, however many rows repeat its doc_id."""
     labelled = docs.select("doc_id", "lang", "text").where("doc_id IS NOT NULL AND lang IS NOT NULL AND length(text) > 0")
     draw = F.xxhash64("doc_id", F.lit("language"))
     chosen = labelled.groupBy("lang", F.pmod(draw, F.lit(samples)).alias("cell")).agg(
         F.count("*").alias("n"), F.min(F.struct(draw.alias("draw"), "doc_id")).alias("best")).select("lang", "n", F.col("best.doc_id").alias("doc_id"))
+    chosen = materialise(chosen, "language-chosen")
+    most = materialise(chosen.groupBy("lang").agg(F.sum("n").alias("rows")).orderBy(F.desc("rows"), "lang").limit(languages).select("lang"), "language-most")
+    # The written choice has its true size, so it is sent to the documents; texts are cut before anything of them could move.
     start = F.pmod(draw, F.greatest(F.lit(1), F.length("text") - excerpt)).cast("int") + 1
-    rows = labelled.join(chosen, ["lang", "doc_id"]).select("lang", "doc_id", "n", F.lower(F.substring("text", start, F.lit(excerpt))).alias("piece"))
+    pieces = labelled.select("lang", "doc_id", F.lower(F.substring("text", start, F.lit(excerpt))).alias("piece"))
+    rows = pieces.join(chosen.join(most, "lang", "left_semi"), ["lang", "doc_id"])
     return rows.groupBy("lang", "doc_id").agg(F.max("n").alias("n"), F.max("piece").alias("piece"))
 
 

@@ -160,3 +160,31 @@ def test_repeated_ids_are_learned_once(spark):
     repeated = one.unionByName(one).unionByName(one)
     (a, bias), (b, other) = quality.learn(one, labels), quality.learn(repeated, labels)
     assert (a == b).all() and bias == other
+
+
+def test_number_of_languages_is_bounded(spark):
+    rows = [(i, f"text {i} of its kind", f"l{min(i % 40, i % 7)}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    often = sorted({r[2] for r in rows}, key=lambda x: (-sum(r[2] == x for r in rows), x))
+    assert list(language.learn(docs, languages=3)) == often[:3] and set(language.learn(docs)) == set(often)
+
+
+def test_language_by_compressed_sizes(spark):
+    import zstandard
+
+    docs = [(i, " ".join(words[(i * j + j) % len(words)] for j in range(5 + i % 60)), lang) for lang, words in
+            (("en", "the of and to in a is that for it".split()), ("de", "der die und in den von zu das mit sich".split())) for i in range(60)]
+    docs += [(900, "der und " * 5_000 + "the of and " * 100, None), (901, "Äpfel", None)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, lang string")
+    learned = language.learn(df)
+    got = {(r.text, r.lang) for r in df.select("text", language.language(df, learned).alias("p")).select("text", "p.lang").collect()}
+    for _, text, _ in docs:
+        sizes = {}
+        for lang, raw in learned.items():
+            own = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            data, sizes[lang] = text.lower().encode(), 0
+            while data:
+                press = zstandard.ZstdCompressor(level=language.LEVEL, dict_data=own, write_checksum=False, write_content_size=False, write_dict_id=False)
+                sizes[lang] += len(press.compress(data[:language.PIECE]))
+                data = data[language.PIECE:]
+        assert (text, min(sizes, key=sizes.get)) in got
