@@ -1,7 +1,7 @@
 """Quality scores from supervised subword embeddings.
 
-A document is the average of the learned vectors of its words and of the character n-grams inside them (both hashed
-into a table of fixed size); a softmax layer turns it into a label. Vectors and layer are trained together by
+A document is the average of the learned vectors of its words, of the character n-grams inside them (both hashed
+into a table of fixed size) and of one vector for every word that repeats the word before it; a softmax layer turns it into a label. Vectors and layer are trained together by
 stochastic gradient descent in numpy. Because the layer is linear, a trained model is stored as one
 number per bucket (its vector times the layer), and a document's score is the average of those.
 """
@@ -28,6 +28,8 @@ DIM, EPOCHS, RATE = 8, 6, 0.5
 SAMPLES, PAIRS = 2_048, 16_000_000
 # Characters to a step of hashing; words longer than LONG are not kept.
 PLACES, LONG = 1 << 16, 64
+# The bucket of words that repeat the one before.
+SAME = crc32(b"<same>") % BUCKETS
 BLANK = re.compile(r"\s")
 
 
@@ -41,9 +43,14 @@ def words_of(text: str | None, most: int = SLICE_CHARS) -> Iterator[list[str]]:
         at = end
 
 
-def own_buckets(words: list[str]) -> np.ndarray:
-    """The bucket of each word as a whole."""
-    return np.fromiter((crc32(w.encode()) % BUCKETS for w in words), np.int64, len(words))
+def word_hashes(words: list[str]) -> np.ndarray:
+    """A 32-bit hash of each word as a whole; its bucket is the remainder."""
+    return np.fromiter((crc32(w.encode()) for w in words), np.uint64, len(words))
+
+
+def repeats(hashes: np.ndarray) -> int:
+    """How many words repeat the word before them."""
+    return int((hashes[1:] == hashes[:-1]).sum())
 
 
 def groups(words: list[str]) -> Iterator[tuple[int, list[str]]]:
@@ -83,11 +90,16 @@ def grams(words: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of a text and their shares, which add up to one; nothing for a text without words."""
-    total = np.zeros(BUCKETS)
+    total, last = np.zeros(BUCKETS), np.zeros(0, np.uint64)
     for found in words_of(text):
         counts = Counter(found)
         words, times = list(counts), np.fromiter(counts.values(), np.float64, len(counts))
-        np.add.at(total, own_buckets(words), times)
+        hashes = word_hashes(words)
+        total += np.bincount((hashes % np.uint64(BUCKETS)).astype(np.int64), times, BUCKETS)
+        known = dict(zip(words, hashes.tolist()))
+        run = np.concatenate((last, np.fromiter(map(known.__getitem__, found), np.uint64, len(found))))
+        total[SAME] += repeats(run)
+        last = run[-1:]
         for first, _, word, bucket in grams(words):
             total += np.bincount(bucket, times[first + word], BUCKETS)
     ids = np.flatnonzero(total)
@@ -159,16 +171,18 @@ class Scorer:
 
     def _forget(self) -> None:
         self.codes: dict[str, int] = {}
-        self.sums, self.sizes = np.zeros(0), np.zeros(0)
+        self.sums, self.sizes, self.hashes = np.zeros(0), np.zeros(0), np.zeros(0, np.uint64)
 
     def _learn(self, words: list[str]) -> None:
         """Sums and numbers of buckets of words that are not known yet."""
-        sums, sizes = self.weights[own_buckets(words)], np.ones(len(words))
+        hashes = word_hashes(words)
+        sums, sizes = self.weights[(hashes % np.uint64(BUCKETS)).astype(np.int64)], np.ones(len(words))
         for first, n, word, bucket in grams(words):
             sums[first:first + n] += np.bincount(word, self.weights[bucket], n)
             sizes[first:first + n] += np.bincount(word, minlength=n)
         self.codes.update(zip(words, range(len(self.sums), len(self.sums) + len(words))))
         self.sums, self.sizes = np.concatenate((self.sums, sums)), np.concatenate((self.sizes, sizes))
+        self.hashes = np.concatenate((self.hashes, hashes))
 
     def _add(self, lists: list[tuple[int, list[str]]], total: np.ndarray, size: np.ndarray) -> None:
         if len(self.sums) > KEPT_TOKENS // 2:
@@ -178,15 +192,19 @@ class Scorer:
             self._learn(new)
         for i, words in lists:
             at = np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
-            total[i] += self.sums[at].sum()
-            size[i] += self.sizes[at].sum()
+            # A text that comes in several lists may repeat a word across them, too.
+            run = np.concatenate((self.last[1] if self.last[0] == i else self.hashes[:0], self.hashes[at]))
+            same = repeats(run)
+            total[i] += self.sums[at].sum() + same * self.weights[SAME]
+            size[i] += self.sizes[at].sum() + same
+            self.last = i, run[-1:]
         for word in new:
             if len(word) > LONG:
                 del self.codes[word]
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         total, size = np.zeros(len(texts)), np.zeros(len(texts))
-        lists, held = [], 0
+        lists, held, self.last = [], 0, (-1, None)
         for i, text in enumerate(texts):
             # A text's sum is made of its own lists, so it does not depend on the texts beside it.
             for words in words_of(text):

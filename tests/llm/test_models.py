@@ -70,7 +70,9 @@ def test_quality_of_odd_rows(spark):
 def plain_buckets(text):
     """Buckets of a text by plain loops over its characters."""
     found = []
-    for word in (text or "").split():
+    own = (text or "").split()
+    found += [quality.SAME for one, two in zip(own, own[1:]) if one == two]
+    for word in own:
         found.append(zlib.crc32(word.encode()) % quality.BUCKETS)
         marked = f"<{word}>"
         for n in quality.GRAMS:
