@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from calzada.functions import dates, numbers, text
 from calzada.functions import traffic as tr
-from calzada.operators import cleaning, congestion, filters, geo, profile, running, sampling
+from calzada.operators import cleaning, clustering, congestion, filters, geo, profile, running, sampling
 from calzada.operators.quantiles import exact_quantiles
 from calzada.plans import analytics, dashboard, etl, forecast
 from calzada.registry.base import Entry
@@ -116,6 +116,41 @@ def _yearly_sink(f: Fixture):
     return _by_year(f.spark.read.parquet(path))
 
 
+_CURVE = ("corredor", "fecha_trafico", "hora")
+
+
+def _curve_cells(f: Fixture):
+    """The 512 largest cells of the curve through corridor, date and hour, with their rows and extent in each column."""
+    placed = clustering.on_curve(f.trafico, _CURVE, name="curva")
+    return placed.groupBy(F.shiftright("curva", 3 * clustering.BITS - 9).alias("celda")).agg(
+        F.count("*").alias("filas"), *[fn(c).alias(f"{c}_{end}") for c in _CURVE for end, fn in (("min", F.min), ("max", F.max))])
+
+
+def _curve_sql() -> str:
+    ranges = 2 ** clustering.BITS
+    codes = ", ".join(f"""r{i} AS (SELECT v, (SUM(n) OVER (ORDER BY v) - n) * {ranges} // SUM(n) OVER () AS tramo
+        FROM (SELECT {c} AS v, COUNT(*) AS n FROM trafico WHERE {c} IS NOT NULL GROUP BY 1) x)""" for i, c in enumerate(_CURVE))
+    # Celda: the three highest bits of each column's range, the first column's bit ahead in every group of three.
+    bits = " + ".join(f"((COALESCE(r{i}.tramo, 0)::BIGINT // {ranges >> (3 - b)}) % 2) * {2 ** (3 * b + 2 - i)}" for i in range(3) for b in range(3))
+    joins = " ".join(f"LEFT JOIN r{i} ON t.{c} = r{i}.v" for i, c in enumerate(_CURVE))
+    ends = ", ".join(f"MIN({c}) AS {c}_min, MAX({c}) AS {c}_max" for c in _CURVE)
+    return f"WITH {codes} SELECT celda, COUNT(*) AS filas, {ends} FROM (SELECT t.*, ({bits})::BIGINT AS celda FROM trafico t {joins}) y GROUP BY celda"
+
+
+# The dashboard's choices: years, corridors, day period; and the date and hour ranges that the period stands for.
+_CHOICES = {"corredor": "corredor < 'Corredor 2'", "fecha": "fecha_trafico < DATE '1994-01-01'", "hora": "hora BETWEEN 7 AND 9",
+            "fecha_hora": "fecha_trafico >= DATE '1996-06-01' AND hora = 18", "todos": "corredor < 'Corredor 2' AND anio = 1995 AND periodo_dia = 'Tarde'"}
+
+
+def _clustered_filters(f: Fixture):
+    """What five filters find in the table stored along the curve."""
+    path = f.folder("por_curva")
+    writers.write_clustered_by_year(f.trafico, path, _CURVE)
+    stored = f.spark.read.parquet(path)
+    return stored.groupBy("anio").agg(F.count("*").alias("filas"), *[F.count_if(F.expr(c)).alias(n) for n, c in _CHOICES.items()],
+                                      *[F.round(F.sum(F.when(F.expr(c), F.col("velocidad_kmh"))), 6).alias(f"suma_{n}") for n, c in _CHOICES.items()])
+
+
 def _built(f: Fixture) -> str:
     """The indexed table built anew, as the other queries find it stored."""
     path = f.folder("trafico")
@@ -324,6 +359,10 @@ ENTRIES = {
         + ", COUNT(*) AS n FROM trafico WHERE id % 5 = 0 GROUP BY ALL"),
     "s9_csv_sink": Entry(_csv_sink, _CSV_SQL),
     "s10_parquet_by_year": Entry(_yearly_sink, f"SELECT anio, {_BY_YEAR} FROM trafico GROUP BY anio"),
+    "s10_curve_cells": Entry(_curve_cells, _curve_sql()),
+    "s10_clustered_filters": Entry(
+        _clustered_filters, "SELECT anio, COUNT(*) AS filas, " + ", ".join(
+            f"COUNT(*) FILTER ({c}) AS {n}, ROUND(SUM(velocidad_kmh) FILTER ({c}), 6) AS suma_{n}" for n, c in _CHOICES.items()) + " FROM trafico GROUP BY anio"),
     "s11_unified_parquet": Entry(_unified_sink, f"SELECT anio, {_BY_YEAR} FROM limpio GROUP BY anio"),
     "s12_s13_append_and_reload": Entry(
         _append_and_reload, "SELECT anio, COUNT(*) AS filas, COUNT(DISTINCT id) AS ids FROM incidentes GROUP BY anio"),
