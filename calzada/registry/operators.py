@@ -138,8 +138,8 @@ def _curve_sql() -> str:
 
 
 # The dashboard's choices: years, corridors, day period; and the date and hour ranges that the period stands for.
-_CHOICES = {"corredor": "corredor < 'Corredor 2'", "fecha": "fecha_trafico < DATE '1994-01-01'", "hora": "hora BETWEEN 7 AND 9",
-            "fecha_hora": "fecha_trafico >= DATE '1996-06-01' AND hora = 18", "todos": "corredor < 'Corredor 2' AND anio = 1995 AND periodo_dia = 'Tarde'"}
+_CHOICES = {"corredor": "corredor BETWEEN 'Brand#21' AND 'Brand#23'", "fecha": "fecha_trafico BETWEEN DATE '1996-03-01' AND DATE '1997-02-28'", "hora": "hora BETWEEN 7 AND 9",
+            "fecha_hora": "fecha_trafico >= DATE '1996-06-01' AND hora = 18", "todos": "corredor >= 'Brand#4' AND anio = 1995 AND periodo_dia = 'Tarde'"}
 
 
 def _clustered_filters(f: Fixture):
