@@ -26,6 +26,11 @@ def _counted(df, *columns):
     return df.groupBy(*columns).agg(F.count("*").alias("n"))
 
 
+def _every_row(df):
+    """All rows, each with how often it is there."""
+    return _counted(df, *df.columns)
+
+
 def _mapped(column: str, **outputs):
     """Each distinct raw cell of a column next to what the operators make of it."""
     def run(f: Fixture):
@@ -50,16 +55,6 @@ def _land(f: Fixture, name: str, columns=None, rename=None):
 
 
 _LANDED = ", ".join(RAW_COLUMNS)
-_PROFILE_SQL = """SELECT anio_carpeta, COUNT(*) AS filas, COUNT(hora) AS horas, COUNT(corredor) AS corredores, COUNT(velocidad_kmh) AS velocidades,
-    COUNT(comuna) AS comunas, COUNT(codigo_comuna) AS codigos, MIN(mes) AS mes_min, MAX(fecha_trafico) AS fecha_max, MAX(corredor) AS corredor_max"""
-
-
-def _profile(df):
-    """Counts and extremes per year that a lost, moved or mangled cell would change."""
-    return df.groupBy("anio_carpeta").agg(
-        F.count("*").alias("filas"), F.count("hora").alias("horas"), F.count("corredor").alias("corredores"),
-        F.count("velocidad_kmh").alias("velocidades"), F.count("comuna").alias("comunas"), F.count("codigo_comuna").alias("codigos"),
-        F.min("mes").alias("mes_min"), F.max("fecha_trafico").alias("fecha_max"), F.max("corredor").alias("corredor_max"))
 
 
 def _by_year(df, year="anio"):
@@ -78,7 +73,7 @@ def _discovered(f: Fixture):
 
 
 def _positional(f: Fixture):
-    return _profile(readers.read_positional(f.spark, _land(f, "posicional", RAW_COLUMNS[:22]), 22))
+    return _counted(readers.read_positional(f.spark, _land(f, "posicional", RAW_COLUMNS[:22]), 22), "anio_carpeta", *RAW_COLUMNS)
 
 
 def _by_header(f: Fixture):
@@ -102,10 +97,7 @@ def _row_mode(f: Fixture):
 def _csv_sink(f: Fixture):
     path = f.folder("csv")
     etl.csv_job(f.raw, path)
-    back = f.spark.read.option("header", "true").csv(path)
-    return back.groupBy("anio").agg(
-        F.count("*").alias("filas"), F.sum(F.col("hora").cast("int")).alias("suma_horas"),
-        F.count_if(F.col("corredor").isNull()).alias("sin_corredor"), F.max("corredor").alias("corredor_max"))
+    return _counted(f.spark.read.option("header", "true").options(**readers.QUOTING).csv(path), *RAW_COLUMNS)
 
 
 def _yearly_sink(f: Fixture):
@@ -113,7 +105,7 @@ def _yearly_sink(f: Fixture):
     writers.write_parquet_by_year(f.trafico, path, balanced=True)
     # One year again: only that year's folder is replaced.
     writers.write_parquet_by_year(f.trafico.where(F.col("anio") == 1998), path)
-    return _by_year(f.spark.read.parquet(path))
+    return _every_row(f.spark.read.parquet(path))
 
 
 _CURVE = ("corredor", "fecha_trafico", "hora")
@@ -161,7 +153,7 @@ def _built(f: Fixture) -> str:
 def _unified_sink(f: Fixture):
     path = f.folder("unificado")
     writers.write_parquet(f.cleaned, path)
-    return _by_year(f.spark.read.parquet(path))
+    return _every_row(f.spark.read.parquet(path))
 
 
 def _append_and_reload(f: Fixture):
@@ -169,7 +161,7 @@ def _append_and_reload(f: Fixture):
     writers.append_rows(f.incidentes, path)
     writers.reload_table(f.incidentes.where(F.col("anio") < 1998), path)
     writers.append_rows(f.incidentes.where(F.col("anio") >= 1998), path)
-    return f.spark.read.parquet(path).groupBy("anio").agg(F.count("*").alias("filas"), F.countDistinct("id").alias("ids"))
+    return _every_row(f.spark.read.parquet(path))
 
 
 def _reloaded(f: Fixture):
@@ -215,7 +207,9 @@ def _ingest(f: Fixture):
     source, target = _land(f, "entrada"), f.folder("ingerido")
     for _ in range(2):  # the second run finds nothing new
         ingest.ingest_new_files(f.spark, source, target, files_per_batch=25)
-    return _by_year(ingest.ingested(f.spark, target))
+    # A blank cell is a missing one.
+    rows = ingest.ingested(f.spark, target)
+    return _counted(rows.withColumns({c: F.nullif(F.col(c), F.lit("")) for c in _TEXT_COLUMNS}), *RAW_COLUMNS, "periodo_dia", "es_hora_pico")
 
 
 def _ledger(f: Fixture):
@@ -240,9 +234,6 @@ _CSV_CELLS = {
     **{c: f"NULLIF(trim({c}), '')" for c in RAW_COLUMNS}, "hora": f"CAST({whole('hora')} AS VARCHAR)", "mes_num": f"CAST({month_no('mes')} AS VARCHAR)",
     "anio": "anio_carpeta", "corredor": title("NULLIF(trim(corredor), '')"), "sentido": "upper(trim(sentido))", "operacion": "lower(NULLIF(trim(operacion), ''))"}
 _CSV_ROWS_SQL = "SELECT " + ", ".join(f"{e} AS {c}" for c, e in _CSV_CELLS.items()) + ", COUNT(*) AS n FROM crudo GROUP BY ALL"
-_CSV_SQL = f"""SELECT anio_carpeta AS anio, COUNT(*) AS filas, CAST(SUM({whole('hora')}) AS BIGINT) AS suma_horas,
-    COUNT(*) FILTER (WHERE COALESCE(trim(corredor), '') = '') AS sin_corredor, MAX({title("COALESCE(trim(corredor), '')")}) AS corredor_max
-    FROM crudo GROUP BY anio_carpeta"""
 
 
 def _rejects(f: Fixture):
@@ -335,8 +326,7 @@ ENTRIES = {
     "s1_discover_inputs": Entry(_discovered, "SELECT DISTINCT anio_carpeta AS anio, TRUE AS hay_archivos FROM trafico_raw"),
     "s2_positional_read": Entry(
         _positional,
-        f"""{_PROFILE_SQL} FROM (SELECT * REPLACE (NULL::VARCHAR AS identificador_fv, NULL::VARCHAR AS comuna, NULL::VARCHAR AS codigo_comuna)
-            FROM leido) r GROUP BY anio_carpeta"""),
+        "SELECT anio_carpeta, " + ", ".join(RAW_COLUMNS[:22]) + ", " + ", ".join(f"NULL::VARCHAR AS {c}" for c in RAW_COLUMNS[22:]) + ", COUNT(*) AS n FROM leido GROUP BY ALL"),
     "s3_header_read": Entry(
         _by_header,
         f"""SELECT anio_carpeta, {_LANDED}, COUNT(*) AS n FROM (SELECT * FROM leido UNION ALL
@@ -357,15 +347,15 @@ ENTRIES = {
         _export, "SELECT id, " + ", ".join({"hora": "hora::TINYINT AS hora", "dia_num": "dia_num::TINYINT AS dia_num", "mes_num": "mes_num::TINYINT AS mes_num",
                                             "anio": "anio::SMALLINT AS anio"}.get(c, c) for c in _EXPORTED)
         + ", COUNT(*) AS n FROM trafico WHERE id % 5 = 0 GROUP BY ALL"),
-    "s9_csv_sink": Entry(_csv_sink, _CSV_SQL),
-    "s10_parquet_by_year": Entry(_yearly_sink, f"SELECT anio, {_BY_YEAR} FROM trafico GROUP BY anio"),
+    "s9_csv_sink": Entry(_csv_sink, _CSV_ROWS_SQL),
+    "s10_parquet_by_year": Entry(_yearly_sink, "SELECT *, COUNT(*) AS n FROM trafico GROUP BY ALL"),
     "s10_curve_cells": Entry(_curve_cells, _curve_sql()),
     "s10_clustered_filters": Entry(
         _clustered_filters, "SELECT anio, COUNT(*) AS filas, " + ", ".join(
             f"COUNT(*) FILTER ({c}) AS {n}, ROUND(SUM(velocidad_kmh) FILTER ({c}), 6) AS suma_{n}" for n, c in _CHOICES.items()) + " FROM trafico GROUP BY anio"),
-    "s11_unified_parquet": Entry(_unified_sink, f"SELECT anio, {_BY_YEAR} FROM limpio GROUP BY anio"),
+    "s11_unified_parquet": Entry(_unified_sink, "SELECT *, COUNT(*) AS n FROM limpio GROUP BY ALL"),
     "s12_s13_append_and_reload": Entry(
-        _append_and_reload, "SELECT anio, COUNT(*) AS filas, COUNT(DISTINCT id) AS ids FROM incidentes GROUP BY anio"),
+        _append_and_reload, "SELECT *, COUNT(*) AS n FROM incidentes GROUP BY ALL"),
     "s13_reload_without_gap": Entry(
         _reloaded, """SELECT anio, COUNT(*) AS antes, CASE WHEN anio >= 1995 THEN COUNT(*) END AS ahora FROM incidentes GROUP BY anio"""),
     "s14_summary_table": Entry(
@@ -558,7 +548,7 @@ ENTRIES = {
            FROM incidentes GROUP BY ALL"""),
     # Incremental ingest
     "r1_r2_resumable_ingest": Entry(
-        _ingest, f"SELECT anio, {_BY_YEAR} FROM (SELECT * REPLACE (NULLIF(corredor, '') AS corredor) FROM limpio) l GROUP BY anio"),
+        _ingest, "SELECT " + ", ".join(f"NULLIF({c}, '') AS {c}" if c in _TEXT_COLUMNS else c for c in RAW_COLUMNS) + ", periodo_dia, es_hora_pico, COUNT(*) AS n FROM limpio GROUP BY ALL"),
     "r1_ledger_of_files": Entry(
         _ledger, "SELECT anio_carpeta AS anio, 'cargado' AS estado, 1 AS intento, COUNT(*) AS filas FROM crudo GROUP BY anio_carpeta"),
     "r3_csv_stream": Entry(_csv_ingest, _CSV_ROWS_SQL),
