@@ -204,20 +204,23 @@ def _export(f: Fixture):
 def _batch_etl(f: Fixture):
     yearly, unified = f.folder("etl"), f.folder("etl_unificado")
     etl.parquet_job(f.spark, _land(f, "crudo"), yearly, unified)
-    table = f.spark.read.parquet(unified)
-    return table.groupBy("anio").agg(
-        F.count("*").alias("filas"), F.count("indice_congestion").alias("con_indice"),
-        F.round(F.avg("indice_congestion"), 6).alias("indice_medio"), F.count_if("es_hora_pico").alias("pico"),
-        F.count("periodo_dia").alias("con_periodo"), F.max("corredor").alias("corredor_max"))
+    table = f.spark.read.parquet(unified).withColumn("indice", F.round("indice_congestion", 6))
+    return _loaded(table, "indice")
+
+
+def _loaded(df, *more):
+    """All rows as they come back from CSV: a blank cell is a missing one."""
+    return _counted(df.withColumns({c: F.nullif(F.col(c), F.lit("")) for c in _TEXT_COLUMNS}), *RAW_COLUMNS, "periodo_dia", "es_hora_pico", *more)
+
+
+_LOADED = ", ".join(f"NULLIF({c}, '') AS {c}" if c in _TEXT_COLUMNS else c for c in RAW_COLUMNS) + ", periodo_dia, es_hora_pico"
 
 
 def _ingest(f: Fixture):
     source, target = _land(f, "entrada"), f.folder("ingerido")
     for _ in range(2):  # the second run finds nothing new
         ingest.ingest_new_files(f.spark, source, target, files_per_batch=25)
-    # A blank cell is a missing one.
-    rows = ingest.ingested(f.spark, target)
-    return _counted(rows.withColumns({c: F.nullif(F.col(c), F.lit("")) for c in _TEXT_COLUMNS}), *RAW_COLUMNS, "periodo_dia", "es_hora_pico")
+    return _loaded(ingest.ingested(f.spark, target))
 
 
 def _ledger(f: Fixture):
@@ -384,10 +387,8 @@ ENTRIES = {
         lambda f: _by_year(f.spark.read.parquet(_built(f))), f"SELECT anio, {_BY_YEAR} FROM trafico GROUP BY anio"),
     "etl_batch_job": Entry(
         _batch_etl,
-        f"""SELECT l.anio, COUNT(*) AS filas, COUNT(i) AS con_indice, ROUND(AVG(i), 6) AS indice_medio, COUNT(*) FILTER (WHERE es_hora_pico) AS pico,
-            COUNT(periodo_dia) AS con_periodo, MAX(corredor) AS corredor_max FROM (SELECT l.*, CASE WHEN COALESCE(p95, 0) > 0 THEN
-            CASE WHEN ocupacion IS NULL THEN NULL ELSE greatest(0.0, least(1.0, ocupacion / p95)) END ELSE 0.0 END AS i
-            FROM limpio l LEFT JOIN p95_limpio USING (anio)) l GROUP BY l.anio"""),
+        f"""SELECT {_LOADED}, ROUND(CASE WHEN COALESCE(p95, 0) > 0 THEN CASE WHEN ocupacion IS NULL THEN NULL ELSE greatest(0.0, least(1.0, ocupacion / p95)) END
+            ELSE 0.0 END, 6) AS indice, COUNT(*) AS n FROM limpio LEFT JOIN p95_limpio USING (anio) GROUP BY ALL"""),
     # Cleaning and derived columns
     "c1_text_clean": Entry(
         _mapped("corredor", limpio=text.clean_cell), _mapped_sql("corredor", limpio="COALESCE(trim(corredor), '')")),
@@ -556,7 +557,7 @@ ENTRIES = {
            FROM incidentes GROUP BY ALL"""),
     # Incremental ingest
     "r1_r2_resumable_ingest": Entry(
-        _ingest, "SELECT " + ", ".join(f"NULLIF({c}, '') AS {c}" if c in _TEXT_COLUMNS else c for c in RAW_COLUMNS) + ", periodo_dia, es_hora_pico, COUNT(*) AS n FROM limpio GROUP BY ALL"),
+        _ingest, f"SELECT {_LOADED}, COUNT(*) AS n FROM limpio GROUP BY ALL"),
     "r1_ledger_of_files": Entry(
         _ledger, "SELECT anio_carpeta AS anio, 'cargado' AS estado, 1 AS intento, COUNT(*) AS filas FROM crudo GROUP BY anio_carpeta"),
     "r3_csv_stream": Entry(_csv_ingest, _CSV_ROWS_SQL),
