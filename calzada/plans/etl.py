@@ -15,9 +15,9 @@ from calzada.sources.workspace import drop_folder, materialise, new_folder
 from calzada.sources.writers import write_csv_by_year, write_parquet, write_parquet_by_year
 
 
-def csv_job(raw: DataFrame, target: str) -> None:
+def csv_job(raw: DataFrame, target: str, compression: str | None = None) -> None:
     """Raw rows to one cleaned CSV folder per year."""
-    write_csv_by_year(raw.transform(drop_empty_rows).transform(select_by_position).transform(clean_for_csv), target)
+    write_csv_by_year(raw.transform(drop_empty_rows).transform(select_by_position).transform(clean_for_csv), target, compression=compression)
 
 
 def traffic_table(raw: DataFrame, method: str = "p95_year", fraction: float | None = None, seed: int = 42,

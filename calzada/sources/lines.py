@@ -71,10 +71,12 @@ def cells(lines: DataFrame, columns: Sequence[str], widest: int) -> DataFrame:
     """The lines' cells as text columns. ``registro`` holds a line that does not fit, whose cells are then NULL."""
     schema = ", ".join(f"`{c}` string" for c in columns)
     options = {"mode": "PERMISSIVE", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", **QUOTING}
-    rows = lines.withColumn(REJECTED, F.when(~fits(F.col("linea"), widest), F.col("linea")))
-    rows = rows.withColumn("_celdas", F.from_csv(F.when(F.col(REJECTED).isNull(), F.col("linea")), F.lit(schema), options))
+    # Both come out of one-element arrays: the optimizer carries neither expression into later conditions and cells, and has no
+    # aliases of cells to try in every combination.
+    rows = lines.select("*", F.explode(F.array(F.when(~fits(F.col("linea"), widest), F.col("linea")))).alias(REJECTED))
+    read = F.from_csv(F.when(F.col(REJECTED).isNull(), F.col("linea")), F.lit(schema), options)
     rest = [c for c in lines.columns if c != "linea"]
-    return rows.select(*[F.col("_celdas")[c].alias(c) for c in columns], *rest, REJECTED)
+    return rows.select("*", F.inline(F.array(read))).select(*columns, *rest, REJECTED)
 
 
 def read_rows(reader, paths: str | Sequence[str], n_columns: int = len(RAW_COLUMNS), widest: int | None = None, header: bool = True,
