@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from calzada.functions import numbers
+from calzada.functions import numbers, text
 from calzada.operators.cleaning import clean
 from calzada.session import METHOD_LIMIT, compile_in_parts
 from calzada.sources import lines, readers, writers
@@ -63,3 +63,19 @@ def test_long_methods_are_cut_in_any_session(spark):
             assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) == kept
     finally:
         spark.conf.set("spark.sql.codegen.hugeMethodLimit", before)
+
+
+def test_text_that_is_no_number_is_not_cast(spark):
+    # The cast throws and catches an exception for each; cells of other blanks and long ones keep their numbers.
+    assert plan(spark.range(1).select(F.uuid().alias("c")).select(numbers.to_number(F.col("c")).alias("n"))).count("regexp_extract") == 0
+    cells = ["  7.5 ", "\x0b-2\x0c", "+.5e1", "7\u0085", "7 7", "1e", ".", "n/a", "-1e999", "-" + "0" * 400 + "4"]
+    got = spark.createDataFrame([(c,) for c in cells], "c string").select(numbers.to_number(F.col("c")).alias("n"), numbers.to_int(F.col("c")).alias("i")).collect()
+    assert [r.n for r in got] == [7.5, -2, 5, *[None] * 6, -4]
+    assert [r.i for r in got] == [7, -2, 5, *[0] * 6, -4]
+
+
+def test_titles_are_broken_up_only_where_a_word_starts_inside(spark):
+    cells = ["LUNES", "carril 3", "80-regional", "10a", "a\u0001 b", "ÑANDÚ o'higgins", "", None]
+    got = [r.t for r in spark.createDataFrame([(c,) for c in cells], "c string").select(text.title_case(F.col("c")).alias("t")).collect()]
+    assert got == ["Lunes", "Carril 3", "80-Regional", "10A", "AB", "Ñandú O'Higgins", "", None]
+    assert "RLIKE" in plan(spark.range(1).select(F.uuid().alias("c")).select(text.title_case(F.col("c")).alias("t")))
