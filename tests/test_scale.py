@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from calzada.functions import numbers, text
 from calzada.operators.cleaning import clean
-from calzada.session import METHOD_LIMIT, compile_in_parts
+from calzada.session import INITIAL_PARTITIONS, METHOD_LIMIT, compile_in_parts, shuffles_of
 from calzada.sources import lines, readers, writers
 from calzada.sources.schemas import RAW_COLUMNS
 
@@ -79,3 +79,14 @@ def test_titles_are_broken_up_only_where_a_word_starts_inside(spark):
     got = [r.t for r in spark.createDataFrame([(c,) for c in cells], "c string").select(text.title_case(F.col("c")).alias("t")).collect()]
     assert got == ["Lunes", "Carril 3", "80-Regional", "10A", "AB", "Ñandú O'Higgins", "", None]
     assert "RLIKE" in plan(spark.range(1).select(F.uuid().alias("c")).select(text.title_case(F.col("c")).alias("t")))
+
+
+def test_joins_start_with_the_pieces_of_the_source(spark):
+    before = spark.conf.get(INITIAL_PARTITIONS, None)
+    try:
+        for given, kept in ((None, "5000"), ("40", "5000"), ("6000", "6000")):
+            spark.conf.unset(INITIAL_PARTITIONS) if given is None else spark.conf.set(INITIAL_PARTITIONS, given)
+            shuffles_of(spark, 5_000)
+            assert spark.conf.get(INITIAL_PARTITIONS) == kept
+    finally:
+        spark.conf.unset(INITIAL_PARTITIONS) if before is None else spark.conf.set(INITIAL_PARTITIONS, before)
