@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from calzada.functions import numbers, text
 from calzada.operators.cleaning import clean
+from calzada.registry import operators
 from calzada.session import INITIAL_PARTITIONS, METHOD_LIMIT, compile_in_parts, shuffles_of
-from calzada.sources import lines, readers, writers
+from calzada.sources import lines, readers, workspace, writers
 from calzada.sources.schemas import RAW_COLUMNS
 
 
@@ -90,3 +93,34 @@ def test_joins_start_with_the_pieces_of_the_source(spark):
             assert spark.conf.get(INITIAL_PARTITIONS) == kept
     finally:
         spark.conf.unset(INITIAL_PARTITIONS) if before is None else spark.conf.set(INITIAL_PARTITIONS, before)
+
+
+def test_text_writes_keep_a_file_open_for_each_year(spark, tmp_path):
+    # Rows of the years take turns: sorted or not, a task makes one file for each; past the number of open files the rest is sorted.
+    rows = spark.range(0, 300, 1, 2).selectExpr("cast(id AS string) AS a", "cast(id % 100 AS int) AS anio")
+    writers.write_csv_by_year(rows, str(tmp_path / "out"), compression="gzip")
+    assert len(list((tmp_path / "out").rglob("part-*"))) == 200
+    first = spark.read.option("header", "true").csv(str(tmp_path / "out/anio=7")).collect()
+    assert sorted(r.a for r in first) == ["107", "207", "7"]
+
+
+def test_text_writes_by_year_are_not_sorted(spark, tmp_path, monkeypatch):
+    inside, before = [], spark.conf.get(workspace.OPEN_FILES, None)
+    monkeypatch.setattr(writers, "by_year", lambda df, *_: inside.append(spark.conf.get(workspace.OPEN_FILES)) or df)
+    writers.write_csv_by_year(spark.range(3).selectExpr("cast(id AS string) AS a", "cast(id AS int) AS anio"), str(tmp_path / "out"))
+    assert int(inside[0]) >= 64
+    assert spark.conf.get(workspace.OPEN_FILES, None) == before
+
+
+def test_rows_are_counted_in_one_packed_column(spark):
+    marks = [("a", None, 1), ("a", None, 1), ("a", "", 1), (None, "a", 1), (None, None, None), ("", "", 1), ("a\x1fb", "c", 1), ("a", "b\x1fc", 1),
+             ("\x1e", "x", 1), (None, "x", 1), ("\x1e", "x", 1), ("ñ,\"", "\n", 2)]
+    df = spark.createDataFrame(marks, "t string, u string, n2 int")
+    got = sorted(map(tuple, operators._counted_rows(df, "t", "u", "n2").collect()), key=str)
+    assert got == sorted(((*k, n) for k, n in Counter(marks).items()), key=str)
+    text = operators._counted_rows(df, "t", "u", "n2")._jdf.queryExecution().optimizedPlan().toString()
+    dealt = next(x for x in text.splitlines() if "RepartitionByExpression" in x)
+    below = text[text.index(dealt):]
+    assert "_fila" in below and "_celdas" in below
+    one = operators._counted_rows(df.select("t"), "t")
+    assert sorted(map(tuple, one.collect()), key=str) == sorted(((k, n) for k, n in Counter(m[0] for m in marks).items()), key=str)
