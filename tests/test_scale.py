@@ -95,6 +95,30 @@ def test_joins_start_with_the_pieces_of_the_source(spark):
         spark.conf.unset(INITIAL_PARTITIONS) if before is None else spark.conf.set(INITIAL_PARTITIONS, before)
 
 
+def test_a_file_a_year_takes_no_shuffle_and_no_sort(spark, tmp_path):
+    rows = spark.range(0, 9_000, 1, 6).selectExpr("concat('x', id) AS a", "CASE WHEN id % 4 < 3 THEN cast(2000 + id % 4 AS int) END AS anio")
+    kept, folder = workspace.stored(rows, "por_anio", "zstd", by=["anio"])
+    assert kept.columns == rows.columns
+    tasks, group = spark.sparkContext.statusTracker(), "un_fichero_por_anio"
+    spark.sparkContext.setJobGroup(group, "")
+    try:
+        writers.write_csv_file_by_year(kept, str(tmp_path / "out"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    jobs = [tasks.getJobInfo(j) for j in tasks.getJobIdsForGroup(group)]
+    # Each year by a task of its own; what finds the years is the only shuffle.
+    assert [tasks.getStageInfo(s).numTasks for s in jobs[0 if jobs[0].jobId > jobs[-1].jobId else -1].stageIds] == [4]
+    files = [str(p.parent.name) for p in (tmp_path / "out").rglob("part-*")]
+    assert sorted(files) == ["anio=2000", "anio=2001", "anio=2002", "anio=__HIVE_DEFAULT_PARTITION__"]
+    back = spark.read.option("header", "true").schema("a string, anio int").csv(str(tmp_path / "out"))
+    assert back.exceptAll(rows).isEmpty() and rows.exceptAll(back).isEmpty()
+    workspace.drop_folder(spark, folder)
+    empty, folder = workspace.stored(rows.where("a = ''"), "por_anio", "zstd", by=["anio"])
+    writers.write_csv_file_by_year(empty, str(tmp_path / "nada"))
+    assert (tmp_path / "nada/_SUCCESS").exists()
+    workspace.drop_folder(spark, folder)
+
+
 def test_text_writes_keep_a_file_open_for_each_year(spark, tmp_path):
     # Rows of the years take turns: sorted or not, a task makes one file for each; past the number of open files the rest is sorted.
     rows = spark.range(0, 300, 1, 2).selectExpr("cast(id AS string) AS a", "cast(id % 100 AS int) AS anio")
