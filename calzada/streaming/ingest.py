@@ -122,8 +122,9 @@ def rejected(spark: SparkSession, target: str) -> DataFrame:
 
 
 def csv_stream(spark: SparkSession, source: str, target: str, checkpoint: str,
-               n_columns: int = len(RAW_COLUMNS), files_per_batch: int = FILES_PER_BATCH, rejects: str | None = None) -> None:
-    """New files to cleaned CSV, one folder per year, quoted as RFC 4180 says; a stateless append.
+               n_columns: int = len(RAW_COLUMNS), files_per_batch: int = FILES_PER_BATCH, rejects: str | None = None,
+               compression: str | None = None) -> None:
+    """New files to cleaned CSV, one folder per year, quoted as RFC 4180 says; a stateless append. ``compression`` is that of the cleaned files.
 
     Lines that do not fit go as they are to the folder ``rejects`` (default: beside the target), by a stream of its own: each of the two
     file sinks writes every input file exactly once.
@@ -132,8 +133,9 @@ def csv_stream(spark: SparkSession, source: str, target: str, checkpoint: str,
     good = rows.where(F.col(REJECTED).isNull()).drop(REJECTED)
     cleaned = good.transform(drop_empty_rows).transform(select_by_position).transform(clean_for_csv)
     bad = rows.where(F.col(REJECTED).isNotNull()).select("anio_carpeta", F.col(REJECTED).alias("value"))
+    packed = {"compression": compression} if compression else {}
     sinks = [
-        cleaned.writeStream.format("csv").option("header", "true").option("escape", '"')
+        cleaned.writeStream.format("csv").option("header", "true").option("escape", '"').options(**packed)
         .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false")
         .option("checkpointLocation", checkpoint).option("path", target).partitionBy("anio"),
         bad.writeStream.format("text").option("checkpointLocation", f"{checkpoint.rstrip('/')}_rechazos")

@@ -267,3 +267,12 @@ def test_written_tables_leave_no_shuffle_files(spark):
     assert not held() - before - more
     workspace.drop_folder(spark, path)
     assert not os.path.exists(path)
+
+
+def test_stream_may_pack_its_cleaned_files(spark, base):
+    target = str(base / "limpio")
+    ingest.csv_stream(spark, str(base / "in/20*"), target, str(base / "log"), compression="gzip")
+    files = [p.name for p in (base / "limpio").rglob("part-*")]
+    assert files and all(n.endswith(".csv.gz") for n in files)
+    rows = spark.read.option("header", "true").csv(target).collect()
+    assert sorted(r.corredor for r in rows) == ["Av 80", "Calle 10A", "Ñutibara"]
